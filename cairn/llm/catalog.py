@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cairn.llm import fingerprint, line_dedup, packing, secret_scan, sharding, toxicity
+from cairn.llm import fingerprint, line_dedup, packing, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
+    "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
