@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import fingerprint, line_dedup, packing, secret_scan, sharding, toxicity, warc
+from cairn.llm import fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
