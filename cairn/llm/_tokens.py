@@ -54,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(map(re.escape, added))) if added else None
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.kind = _classes()
         self.value = np.random.default_rng(20260103).integers(1, 1 << 62, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.up = self.down = np.ones(1, np.uint64)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cairn.llm import fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, warc
+from cairn.llm import decontaminate, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_training_order": training_order.op8_training_order,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
