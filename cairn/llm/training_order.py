@@ -43,7 +43,8 @@ from cairn.llm.packing import tokenizer_path
 from cairn.llm.warc import _file_system
 
 MAGIC = b"CAIRNTOK"
-HEADER = struct.Struct("<8sIIQQ32x")
+HEADER = "<8sIIQQ32x"
+HEADER_BYTES = struct.calcsize(HEADER)
 
 
 def sequences(docs: DataFrame, length: int = 1024, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
@@ -144,7 +145,7 @@ def write_shards(table: DataFrame, length: int = 1024, shard_rows: int = 32_768,
                     fs.create_dir(root, recursive=True)
                     name = f"shard-{slot // shard_rows:08d}-{task.taskAttemptId()}.bin"
                     out = fs.open_output_stream(f"{root}/{name}")
-                    out.write(HEADER.pack(MAGIC, dtype.itemsize, length, slot, rows))
+                    out.write(struct.pack(HEADER, MAGIC, dtype.itemsize, length, slot, rows))
                 if slot != expect:
                     raise ValueError(f"slot {expect} is missing before {slot}")
                 pad = np.full(length - n, end_id, dtype).tobytes()
@@ -171,11 +172,11 @@ def read_shard(path: str, start: int = 0, rows: int | None = None, at_once: int
     """``(slot, ids)`` from the ``start``-th sequence of a shard on: one seek, then sequential."""
     fs, name = _file_system(path)
     with fs.open_input_file(name) as file:
-        magic, width, length, first, held = HEADER.unpack(file.read(HEADER.size))
+        magic, width, length, first, held = struct.unpack(HEADER, file.read(HEADER_BYTES))
         if magic != MAGIC:
             raise ValueError(f"{path} is not a shard")
         stride, stop = 4 + length * width, held if rows is None else min(held, start + rows)
-        file.seek(HEADER.size + start * stride)
+        file.seek(HEADER_BYTES + start * stride)
         for k in range(start, stop, at_once):
             raw = memoryview(file.read(min(at_once, stop - k) * stride))
             for i in range(len(raw) // stride):
