@@ -1,14 +1,606 @@
-"""Registered queries of the retrieval engine and their SQL."""
+"""Registered queries of the retrieval engine and their SQL.
+
+Each query runs an operator over a whole table; columns that the tables lack
+(knowledge bases, versions, dates, wiki kinds) derive from ids, in both engines
+alike. SQL is DuckDB's.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import text as T
+from cairn.operators import answers, bm25, chunking, context, evaluation, filters, freshness, fusion, rerank, stores, vectors, wiki
+from cairn.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+ASKED = [
+    (0, "the worthless tionen of and"),
+    (1, "le ouè enier des trereaux"),
+    (2, "la ciónes mente para los"),
+    (3, "Licensed under the Apache License Version 2.0"),
+    (4, "zu verge ein heit schen the the"),
+]
+ASKED_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") AS asked(query_id, query)"
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id long, query string")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").drop("n_chars")
+    text_id = F.col("doc_id").cast("string")
+    return docs.withColumns({
+        "kb_id": F.col("lang"), "source_path": F.concat("source", F.lit("/"), text_id, F.lit(".txt")), "title": F.concat(F.lit("Document "), text_id),
+        "version": F.concat(F.lit("v"), (F.col("doc_id") % 5).cast("string"), F.lit("."), (F.col("doc_id") % 3).cast("string")),
+        "effective_date": F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")), "yyyy-MM-dd"),
+        "source_key": F.concat(F.lit("key"), (F.col("doc_id") % 50).cast("string")),
+        "wiki_kind": F.element_at(F.array(F.lit("topic"), F.lit("source"), F.lit("index"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int")),
+        "wiki_status": F.element_at(F.array(F.lit("stable"), F.lit("conflicting"), F.lit("sparse")), (F.col("doc_id") % 3 + 1).cast("int")),
+    })
+
+
+DOCUMENTS_SQL = """(
+  SELECT doc_id, text, lang, source, lang AS kb_id, concat(source, '/', doc_id, '.txt') AS source_path, concat('Document ', doc_id) AS title,
+         concat('v', doc_id % 5, '.', doc_id % 3) AS version, strftime(DATE '2024-01-01' + (doc_id % 400)::INTEGER, '%Y-%m-%d') AS effective_date,
+         concat('key', doc_id % 50) AS source_key, [ 'topic', 'source', 'index', NULL ][doc_id % 4 + 1] AS wiki_kind,
+         [ 'stable', 'conflicting', 'sparse' ][doc_id % 3 + 1] AS wiki_status
+  FROM documents) AS docs"""
+
+
+def tokens_sql(column: str) -> str:
+    return rf"list_filter(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1 OR regexp_matches(x, '^\p{{L}}$'))"
+
+
+def bm25_sql(k: int, where: str = "true", docs: str = "documents", text: str = "text") -> str:
+    """CTEs up to ``sparse(query_id, key, score, rank)``."""
+    return f"""
+tok AS (SELECT doc_id, {tokens_sql(text)} AS tokens FROM {docs}),
+stat AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
+want AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens_sql("query")}) AS term FROM {ASKED_SQL}) GROUP BY ALL),
+post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM want) GROUP BY ALL),
+freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+score AS (SELECT query_id, doc_id AS key, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+          FROM post JOIN want USING (term) JOIN freq USING (term), stat GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM score WHERE score > 0 AND {where}) WHERE rank <= {k})"""
+
+
+def dense_sql(k: int, where: str = "true") -> str:
+    return f"""
+dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS key, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score,
+                                row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank
+                         FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND {where}) WHERE rank <= {k})"""
+
+
+def rounded(hits: DataFrame, *extra: str) -> DataFrame:
+    return hits.select("query_id", "key", F.round("score", 6).alias("score"), "rank", *extra)
+
+
+def sparse_hits(spark: SparkSession, sf_dir: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"), asked(spark), k, allowed=allowed)
+
+
+def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.search(rows, rows.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k, "vec_id", "embedding")
+
+
+# --- inverted index, vectors, fusion
+
+
+@query(f"WITH {bm25_sql(10)} SELECT query_id, key, round(score, 6) AS score, rank FROM sparse")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sparse_hits(spark, sf_dir, 10))
+
+
+@query(f"WITH {bm25_sql(10, 'key % 3 = query_id % 3')} SELECT query_id, key, round(score, 6) AS score, rank FROM sparse")
+def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")).join(F.broadcast(asked(spark).select("query_id")), F.col("key") % 3 == F.col("query_id") % 3)
+    return rounded(sparse_hits(spark, sf_dir, 10, scope))
+
+
+@query(f"WITH tok AS (SELECT unnest({tokens_sql('text')}) AS term, doc_id FROM documents) SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS df FROM tok GROUP BY term")
+def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bm25.postings(bm25.tokenized(table(spark, sf_dir, "documents")))
+    return rows.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(avg(len({tokens_sql('text')})), 6) AS avgdl FROM documents")
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.corpus_stats(bm25.tokenized(table(spark, sf_dir, "documents"))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {dense_sql(10)} SELECT query_id, key, round(score, 6) AS score, rank FROM dense")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dense_hits(spark, sf_dir, 10))
+
+
+@query(f"""WITH {dense_sql(20)}, kept AS (SELECT d.query_id, d.key, d.score FROM dense d JOIN embeddings e ON e.vec_id = d.key WHERE e.label % 2 = 0)
+SELECT query_id, key, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM kept) WHERE rank <= 5""")
+def vector_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(vectors.search_overfetch(rows, wanted, 5, F.col("label") % 2 == 0, "vec_id", "embedding"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(following, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+RRF_SQL = """both_ AS (SELECT query_id, key, 0.7::DOUBLE / (60 + rank) AS part, score AS d, rank AS seen FROM dense
+  UNION ALL SELECT query_id, key, 0.3::DOUBLE / (60 + rank), NULL, rank + 1000000000 FROM sparse),
+fused AS (SELECT query_id, key, sum(part) AS fused, max(d) AS dense_score, min(seen) AS seen FROM both_ GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, seen, key) AS rank FROM fused)"""
+
+
+@query(f"WITH {bm25_sql(20)}, {dense_sql(20)}, {RRF_SQL} SELECT query_id, key, round(fused, 9) AS fused, rank FROM ranked")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.reciprocal_ranks(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20)).select("query_id", "key", F.round("fused", 9).alias("fused"), "rank")
+
+
+@query(f"""WITH {bm25_sql(20)}, {dense_sql(20)}, both_ AS (
+  SELECT query_id, key, 0.7 * score / max(score) OVER (PARTITION BY query_id) AS part FROM dense UNION ALL
+  SELECT query_id, key, 0.3 * score / max(score) OVER (PARTITION BY query_id) FROM sparse),
+fused AS (SELECT query_id, key, sum(part) AS fused FROM both_ GROUP BY ALL)
+SELECT query_id, key, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, key) AS rank FROM fused""")
+def score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.weighted_scores(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20)).select("query_id", "key", F.round("fused", 6).alias("fused"), "rank")
+
+
+@query(f"""WITH {bm25_sql(20)}, lists AS (SELECT query_id % 2 AS query_id, query_id AS variant, key, score, rank FROM sparse),
+fused AS (SELECT query_id, key, sum(1.0::DOUBLE / (60 + rank)) AS score, min(variant * 1000000 + rank) AS first FROM lists GROUP BY ALL)
+SELECT * FROM (SELECT query_id, key, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, key) AS rank FROM fused) WHERE rank <= 15""")
+def variant_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = sparse_hits(spark, sf_dir, 20).withColumns({"variant": F.col("query_id"), "query_id": F.col("query_id") % 2})
+    return fusion.variants(lists, 15).select("query_id", "key", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"WITH {bm25_sql(20)}, {dense_sql(20)}, {RRF_SQL} SELECT query_id, key, round(coalesce(dense_score, fused), 6) AS score, round(fused, 9) AS fused, rank FROM ranked WHERE rank <= 10")
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20), 10)
+    return hits.select("query_id", "key", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"), "rank")
+
+
+@query(f"""WITH {bm25_sql(4)}, {dense_sql(20)}, once AS (
+  SELECT query_id, key, min(list * 1000000 + rank) AS place, arg_min(score, list * 1000000 + rank) AS score
+  FROM (SELECT query_id, key, score, rank, 0 AS list FROM sparse UNION ALL SELECT query_id, key, score, rank, 1 FROM dense) GROUP BY ALL)
+SELECT * FROM (SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY place, key) AS rank FROM once) WHERE rank <= 10""")
+def priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.priority_merge(sparse_hits(spark, sf_dir, 4), dense_hits(spark, sf_dir, 20), 10))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid retrieval with each hit's document and a preview."""
+    hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20), 10)
+    docs = documents(spark, sf_dir).select("doc_id", "title", "source_path", T.preview("text", 120).alias("preview"))
+    return hits.join(docs, hits["key"] == docs["doc_id"]).select("query_id", "rank", "doc_id", "title", "source_path", F.round("score", 6).alias("score"), "preview")
+
+
+# --- scalar functions
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || repeat(chr(10), 3) || 'end', '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', repeat(chr(10), 2), 'g'), ' ' || chr(9) || chr(10)) AS text FROM documents")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.concat("text", F.lit("\r\n\n\n\nend"))).alias("text"))
+
+
+@query(f"SELECT doc_id, 'doc-' || left(sha256(kb_id || '|' || source_path), 24) AS stable_id, trim(lower(regexp_replace(regexp_replace(title, '[_/-]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS source_key FROM {DOCUMENTS_SQL}")
+def document_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.doc_id("kb_id", "source_path").alias("stable_id"), T.source_key("source_path", "title").alias("source_key"))
+
+
+DOC_TYPE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(w, {chr(39)}{m}{chr(39)})' for m in markers)} THEN '{name}'" for name, markers in T.DOC_TYPES.items()) + " ELSE 'document' END"
+
+
+@query(f"SELECT doc_id, {DOC_TYPE_SQL} AS doc_type FROM (SELECT doc_id, lower(concat(source_path, chr(10), title, chr(10), substr(text, 1, 500))) AS w FROM {DOCUMENTS_SQL})")
+def doc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.doc_type("source_path", "title", "text").alias("doc_type"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE rtrim(substr(t, 1, 197)) || '...' END AS preview
+FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview("text", 200).alias("preview"))
+
+
+@query(f"""SELECT doc_id, version, list_transform(regexp_extract_all(version, '\\d+'), lambda x: x::BIGINT) AS version_key, strptime(effective_date, '%Y-%m-%d')::DATE AS day FROM {DOCUMENTS_SQL}""")
+def versions_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slashed = F.replace(F.col("effective_date"), F.lit("-"), F.lit("/"))
+    return documents(spark, sf_dir).select("doc_id", T.normalize_version(F.concat(F.lit("Version: "), F.col("version"))).alias("version"), T.version_key("version").alias("version_key"), T.parse_date(slashed).alias("day"))
+
+
+@query("SELECT doc_id, floor(length(text) / 4)::INTEGER AS tokens FROM documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?。！？]\s*'), lambda x: regexp_matches(x, '\S')))::INTEGER AS chunks FROM documents WHERE NOT regexp_matches(text, '[.!?]\s*[.!?]')")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[.!?]\s*[.!?]")).select("doc_id", F.size(T.sentences("text")).alias("chunks"))
+
+
+@query(r"""SELECT event_id, coalesce(CASE WHEN isnan(v) THEN NULL ELSE v END, 0.0) AS value FROM (SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN value::VARCHAR WHEN event_id % 3 = 1 THEN 'n/a' ELSE 'NaN' END AS DOUBLE) AS v FROM events)""")
+def safe_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, "n/a").otherwise("NaN")
+    return table(spark, sf_dir, "events").select("event_id", T.safe_float(raw).alias("value"))
+
+
+# --- chunking
+
+
+@query("""SELECT doc_id, i::INTEGER AS chunk_index, trim(substr(text, i * 680 + 1, 800), ' ' || chr(10) || chr(9)) AS chunk
+FROM documents, unnest(range(0, ((length(text) - 1) // 680 + 1)::BIGINT)) AS u(i) WHERE length(text) > 0""")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.fixed_windows("text", 800, 120)).alias("chunk_index", "chunk"))
+
+
+@query()
+def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack_paragraphs(doubled, 800, 120)).alias("chunk_index", "chunk"))
+
+
+@query()
+def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack_sentences("text", 200, 40, 1)).alias("chunk_index", "chunk"))
+
+
+@query()
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source_path", "title", F.regexp_replace("text", r"(?m)^([^.\n]{5,60})\.$", "## $1").alias("text"))
+    return chunking.build_chunks(docs).select("chunk_id", "doc_id", "chunk_index", "text", "section_path_text", "parent_chunk_id", "child_chunk_count", "child_chunk_index")
+
+
+# --- filters
+
+
+@query(f"SELECT doc_id FROM {DOCUMENTS_SQL} WHERE version = 'v2.1' AND effective_date BETWEEN '2024-02-01' AND '2024-12-31' AND wiki_kind IN ('topic', 'source')")
+def meta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.struct(F.array(F.lit("TOPIC"), F.lit("source")).alias("doc_types"), F.lit("version 2.1").alias("version"), F.lit("2024/2/1").alias("date_from"), F.lit("2024-12-31").alias("date_to"), F.lit(False).alias("soft")).cast(filters.KIND)
+    docs = documents(spark, sf_dir)
+    return docs.filter(filters.matches(f, F.col("wiki_kind"), F.regexp_replace("version", "v", "version "), F.col("effective_date"))).select("doc_id")
+
+
+@query(f"""SELECT doc_id, [ 'policy', 'faq', 'handbook,form', NULL ][doc_id % 4 + 1] AS doc_types, CASE WHEN doc_id % 2 = 0 THEN version END AS version,
+       CASE WHEN doc_id % 3 = 1 THEN left(effective_date, 4) || '-01-01' END AS date_from,
+       CASE doc_id % 3 WHEN 0 THEN effective_date WHEN 1 THEN left(effective_date, 4) || '-12-31' END AS date_to FROM {DOCUMENTS_SQL}""")
+def filter_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda n, *values: F.element_at(F.array(*values), (F.col("doc_id") % n + 1).cast("int"))
+    text = F.concat(
+        F.lit("Which "), pick(4, F.lit("policy"), F.lit("faq"), F.lit("handbook and form"), F.lit("thing")), F.lit(" of "),
+        pick(3, F.col("effective_date"), F.left(F.col("effective_date"), F.lit(4)), F.lit("late")), F.lit(" "), pick(2, F.col("version"), F.lit("")),
+    )
+    rows = documents(spark, sf_dir).select("doc_id", filters.infer(text).alias("f"))
+    return rows.select("doc_id", F.array_join("f.doc_types", ",").alias("doc_types"), "f.version", "f.date_from", "f.date_to")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.lang IN ('en', 'fr')")
+def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.allowed(documents(spark, sf_dir), spark.createDataFrame([("en",), ("fr",)], "kb_id string")).select("doc_id")
+
+
+@query("""SELECT query_id, key, rank FROM (SELECT l.doc_id % 7 AS query_id, l.doc_id AS key, row_number() OVER (PARTITION BY l.doc_id % 7 ORDER BY CASE WHEN length(trim(d.text)) < 10 THEN 0.0 ELSE l.quality END DESC, l.doc_id) AS rank
+FROM labels l JOIN documents d USING (doc_id) WHERE l.quality >= 0.5 AND length(trim(d.text)) >= 10) WHERE rank <= 10""")
+def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    judged = rows.select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("key"), "text", F.col("quality").cast("double").alias("relevance"))
+    return filters.relevant(judged, 10).select("query_id", "key", "rank")
+
+
+@query("SELECT event_id, least(1.0, round((event_id % 15) / 10.0, 1))::DOUBLE AS score FROM events")
+def relevance_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.concat(F.lit("Score follows\n"), F.format_number((F.col("event_id") % 15) / 10.0, 1), F.lit(" because\n9"))
+    return table(spark, sf_dir, "events").select("event_id", filters.relevance_score(reply).alias("score"))
+
+
+# --- rerank, freshness, contexts
+
+
+@query(f"""SELECT query_id, doc_id, freshness_rank FROM (SELECT doc_id % 3 AS query_id, doc_id,
+  row_number() OVER (PARTITION BY doc_id % 3, source_key, lang ORDER BY effective_date DESC, list_transform(regexp_extract_all(version, '\\d+'), lambda x: x::BIGINT) DESC, doc_id % 11 DESC, doc_id) - 1 AS freshness_rank
+  FROM {DOCUMENTS_SQL} WHERE wiki_kind IS DISTINCT FROM 'topic') WHERE freshness_rank = 0
+UNION ALL SELECT doc_id % 3, doc_id, NULL FROM {DOCUMENTS_SQL} WHERE wiki_kind = 'topic'""")
+def freshness_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = documents(spark, sf_dir).withColumns({"query_id": F.col("doc_id") % 3, "rank": F.col("doc_id"), "score": (F.col("doc_id") % 11).cast("double")})
+    kind = F.when(F.col("wiki_kind") == "topic", F.lit("topic"))
+    key = freshness.group_key(kind, F.col("source_key"), F.col("lang"), F.lit("page"), F.lit(None), F.col("doc_id"))
+    return freshness.latest(hits, key, F.col("effective_date"), F.col("version")).select("query_id", "doc_id", F.col("freshness_rank").cast("long").alias("freshness_rank"))
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN wiki_status = 'stable' AND wiki_kind = 'topic' THEN 0.35 WHEN wiki_status = 'stable' AND wiki_kind = 'source' THEN 0.15 ELSE 0 END
+  - CASE WHEN wiki_status = 'conflicting' THEN 0.25 ELSE 0 END + CASE WHEN source_key IN ('key1', 'key2') THEN 0.1 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.08 ELSE 0 END
+  + 0.12 * CASE WHEN age <= 30 THEN 1.0 WHEN age >= 365 THEN 0.0 ELSE round(1.0 - (age - 30) / 335.0::DOUBLE, 4) END, 6) AS adjustment
+FROM (SELECT *, greatest(0, DATE '2025-01-01' - effective_date::DATE) AS age FROM {DOCUMENTS_SQL})""")
+def rerank_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = rerank.adjustment(F.lit("Key1/key2 in EN-text"), F.col("wiki_kind"), F.col("wiki_status"), F.col("source_key"), F.col("lang"), F.col("effective_date"), F.lit("2025-01-01").cast("date"))
+    return documents(spark, sf_dir).select("doc_id", value.alias("adjustment"))
+
+
+def context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(
+        (F.col("doc_id") % 4).alias("query_id"), (F.col("doc_id") + 1).alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), "text", "title", "source_path", "source_key", "wiki_kind", "wiki_status",
+        F.concat(F.lit("parent-"), (F.col("doc_id") % 40).cast("string")).alias("parent_chunk_id"), F.when(F.col("doc_id") % 5 != 0, F.lit("Whole parent text")).otherwise("cut ...").alias("parent_text"),
+        F.when(F.col("doc_id") % 6 == 0, F.lit("primary")).alias("freshness_tier"), (1.0 / (F.col("doc_id") + 1)).alias("score"), F.array("lang").alias("section_path"),
+    )
+
+
+@query("""SELECT query_id, chunk_id, dedupe_key FROM (SELECT doc_id % 4 AS query_id, doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 5 <> 0 THEN 'parent-' || (doc_id % 40) ELSE doc_id::VARCHAR END AS dedupe_key,
+row_number() OVER (PARTITION BY doc_id % 4, CASE WHEN doc_id % 5 <> 0 THEN 'parent-' || (doc_id % 40) ELSE doc_id::VARCHAR END ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+def parent_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.with_parents(context_hits(spark, sf_dir)).select("query_id", "chunk_id", "dedupe_key")
+
+
+QUOTA_SQL = f"""hit AS (SELECT lang AS query_id, doc_id::VARCHAR AS chunk_id, doc_id + 1 AS rank, coalesce(wiki_kind, 'raw') AS bucket, wiki_kind, wiki_status,
+  CASE WHEN doc_id % 6 = 0 THEN 'primary' END AS freshness_tier FROM {DOCUMENTS_SQL}),
+nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank) AS r, list_position(['topic', 'raw', 'source', 'index'], bucket) AS b, CASE bucket WHEN 'topic' THEN 2 WHEN 'raw' THEN 6 ELSE 1 END AS quota FROM hit),
+pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN r <= quota THEN 0 ELSE 1 END, CASE WHEN r <= quota THEN r ELSE rank END, CASE WHEN r <= quota THEN b ELSE 0 END) AS position FROM nth) WHERE position <= 12)"""
+
+
+@query(f"WITH {QUOTA_SQL} SELECT query_id, chunk_id, bucket, position FROM pick")
+def quota_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context_hits(spark, sf_dir).withColumns({"query_id": F.col("section_path")[0], "bucket": context.bucket(F.col("wiki_kind"))})
+    return context.quota_pick(rows, 12, {"topic": 2, "raw": 6, "source": 1, "index": 1}).select("query_id", "chunk_id", "bucket", "position")
+
+
+@query(f"""WITH {QUOTA_SQL}, role AS (SELECT *, CASE WHEN wiki_status = 'conflicting' THEN 'conflicting' WHEN freshness_tier = 'primary' OR (wiki_kind = 'topic' AND wiki_status = 'stable') THEN 'primary' ELSE 'supporting' END AS evidence_role FROM pick)
+SELECT query_id, chunk_id, evidence_role, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY list_position(['primary', 'supporting', 'conflicting'], evidence_role), position) AS citation_label FROM role""")
+def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context_hits(spark, sf_dir).withColumns({"query_id": F.col("section_path")[0], "evidence_role": context.evidence_role(F.col("wiki_kind"), F.col("wiki_status"), F.col("freshness_tier"))})
+    return context.label(context.quota_pick(rows, 12, {"topic": 2, "raw": 6, "source": 1, "index": 1})).select("query_id", "chunk_id", "evidence_role", "citation_label")
+
+
+@query(f"""SELECT query_id, doc_id, len(list_filter(list_distinct(list_filter(list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: length(x) >= 2)), lambda t: contains(lower(text), t)))::INTEGER AS covered
+FROM documents, {ASKED_SQL}""")
+def coverage_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(asked(spark)))  # five queries
+    return rows.select("query_id", "doc_id", F.size(context.covered(T.query_terms("query"), F.col("text"))).alias("covered"))
+
+
+@query()
+def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = sparse_hits(spark, sf_dir, 20).select("query_id", "rank", "score", F.col("key").cast("string").alias("chunk_id"))
+    chunks = context_hits(spark, sf_dir).drop("query_id", "rank", "score")
+    built = context.build(hits.join(chunks, "chunk_id"), asked(spark), 6, {"topic": 2, "raw": 3, "source": 1, "index": 1})
+    return built.select("query_id", "chunk_id", "evidence_role", "position", "citation_label", F.size("covered").alias("n_covered"))
+
+
+# --- knowledge pages
+
+
+def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "kb_id", F.col("title"), "source_path", "text", F.lit("document").alias("doc_type"), "source_key", "version", "effective_date")
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) >= 5) & (F.length(x) <= 25))
+    return docs.withColumns({"headings": F.slice(F.transform(lines, lambda x: F.element_at(F.split(x, " "), 1)), 1, 20), "summary": T.page_preview("text", 120), "key_passages": F.array(T.page_preview(F.substring("text", 1, 90), 180))}).drop("text")
+
+
+TOPIC_SQL = f"""page AS (SELECT doc_id, kb_id, title, list_slice(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 5 AND 25), lambda x: string_split(x, ' ')[1]), 1, 20) AS headings FROM {DOCUMENTS_SQL}),
+named AS (SELECT doc_id, kb_id, title, unnest(names) AS topic, generate_subscripts(names, 1) AS place FROM (SELECT *, CASE WHEN len(list_filter(headings, lambda x: trim(x) <> '')) > 0 THEN list_filter(list_transform(headings, lambda x: trim(x)), lambda x: x <> '') ELSE [title] END AS names FROM page)),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(topic) ORDER BY place) AS first FROM named) WHERE first = 1),
+entry AS (SELECT * FROM once WHERE n <= 8)"""
+
+
+@query(f"WITH {TOPIC_SQL} SELECT kb_id, topic, count(*)::BIGINT AS n_entries, min(doc_id) AS first_doc FROM entry GROUP BY ALL")
+def wiki_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wiki.topic_entries(wiki_pages(spark, sf_dir)).groupBy("kb_id", "topic").agg(F.count(F.lit(1)).alias("n_entries"), F.min("doc_id").alias("first_doc"))
+
+
+@query()
+def wiki_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wiki.topics(wiki_pages(spark, sf_dir)).select("kb_id", "topic", "slug", "n_entries", "n_facts", "n_conflicts", "status", "summary")
+
+
+CONFLICT_SQL = """said AS (SELECT doc_id, source AS title, lang AS kb_id, concat(left(text, 60), CASE WHEN doc_id % 4 = 0 THEN ' not so' ELSE '' END, ' ', doc_id % 3) AS said FROM documents WHERE doc_id < 400),
+mark AS (SELECT *, contains(' ' || lower(said) || ' ', ' not ') OR contains(' ' || lower(said) || ' ', ' no ') OR contains(' ' || lower(said) || ' ', ' never ') AS neg,
+ list_sort(list_distinct(regexp_extract_all(said, '\\b\\d+\\b'))) AS nums FROM said)"""
+
+
+@query(f"WITH {CONFLICT_SQL} SELECT l.kb_id, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id FROM mark l JOIN mark r ON l.kb_id = r.kb_id AND l.doc_id < r.doc_id AND l.title <> r.title WHERE l.neg <> r.neg OR l.nums <> r.nums")
+def wiki_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 400")
+    said = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 4 == 0, " not so").otherwise(""), F.lit(" "), (F.col("doc_id") % 3).cast("string"))
+    entries = docs.select(F.col("lang").alias("kb_id"), F.lit("-").alias("topic"), "doc_id", F.col("source").alias("title"), said.alias("summary"), F.array().cast("array<string>").alias("key_passages"))
+    return wiki.conflicts(entries, None).select("kb_id", "l_doc_id", "r_doc_id")
+
+
+@query()
+def wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wiki_pages(spark, sf_dir)
+    topic = wiki.topics(pages)
+    everything = wiki.search_pages(topic, pages, wiki.index_pages(topic, pages))
+    scoped = asked(spark).withColumn("kb_id", F.element_at(F.array(*map(F.lit, ("en", "fr", "es", "en", "de"))), (F.col("query_id") + 1).cast("int")))
+    return wiki.search(everything, scoped, 5).select("query_id", "key", "kind", F.round("score", 6).alias("score"), "rank")
+
+
+# --- evaluation, benchmark, diagnosis, replay
+
+
+def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    refs = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("reference"))
+    rows = turns.join(refs, F.col("conv_id") % 40 == F.col("item_id"), "left")
+    return rows.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sample_id"), F.col("text").alias("answer"),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit("**"), "text", F.lit("**!"))).otherwise("other").alias("reference_answer"),
+        F.array("reference", F.lit("too short"), "text").alias("reference_contexts"), F.when(F.col("turn") % 3 == 0, F.array("reference")).otherwise(F.array("text", F.lit("more"))).alias("retrieved_contexts"),
+        (F.col("turn") % 4).cast("int").alias("conflicting_context_count"), (F.col("turn") % 2).cast("int").alias("conflict_claim_count"), F.lit(0).alias("insufficiency_claim_count"),
+    )
+
+
+EVAL_SQL = r"""rec AS (SELECT conv_id || '-' || turn AS sample_id, c.text AS answer, turn,
+  CASE WHEN turn % 2 = 0 THEN '**' || c.text || '**!' ELSE 'other' END AS reference_answer, [b.text, 'too short', c.text] AS refs,
+  CASE WHEN turn % 3 = 0 THEN [b.text] ELSE [c.text, 'more'] END AS ctx FROM conversations c LEFT JOIN benchmark b ON conv_id % 40 = item_id),
+fold AS (SELECT *, lower(regexp_replace(answer, '[^\p{L}\p{N}_]', '', 'g')) AS a, lower(regexp_replace(reference_answer, '[^\p{L}\p{N}_]', '', 'g')) AS r, array_to_string(list_filter(ctx, lambda x: x IS NOT NULL), chr(10)) AS merged FROM rec),
+met AS (SELECT sample_id, answer, turn, CASE WHEN a <> '' AND a = r THEN 1.0 ELSE 0.0 END::DOUBLE AS answer_exact_match,
+  round(len(list_filter(refs, lambda x: length(trim(x, ' ' || chr(10))) >= 20 AND contains(merged, trim(x, ' ' || chr(10))))) / 3.0::DOUBLE, 4) AS reference_context_recall, len(ctx)::INTEGER AS retrieved_context_count FROM fold)"""
+
+
+@query(f"WITH {EVAL_SQL} SELECT sample_id, answer_exact_match, reference_context_recall, retrieved_context_count FROM met")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.metrics(eval_records(spark, sf_dir)).select("sample_id", "answer_exact_match", "reference_context_recall", "retrieved_context_count")
+
+
+@query(f"""WITH {EVAL_SQL} SELECT count(*)::BIGINT AS records, round(avg(answer_exact_match), 4) AS answer_exact_match, round(avg(reference_context_recall), 4) AS reference_context_recall, round(avg(retrieved_context_count), 4) AS retrieved_context_count_avg,
+round(avg(turn % 4), 4) AS conflicting_context_count_avg, round(avg(CASE WHEN turn % 4 > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS conflicting_hit_rate, round(avg(turn % 2), 4) AS conflict_claim_count_avg,
+round(avg(CASE WHEN turn % 2 > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS conflict_claim_hit_rate, 0.0::DOUBLE AS insufficiency_claim_count_avg, 0.0::DOUBLE AS insufficiency_claim_hit_rate FROM met""")
+def eval_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.aggregate(evaluation.metrics(eval_records(spark, sf_dir)))
+
+
+@query(f"""WITH {EVAL_SQL} SELECT sample_id, category FROM (SELECT sample_id, CASE WHEN reference_context_recall < 1 THEN 'retrieval_gap' WHEN answer_exact_match < 1 THEN 'generation_misalignment' ELSE 'no_obvious_issue' END AS category FROM met)""")
+def diagnose_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.diagnose_results(evaluation.metrics(eval_records(spark, sf_dir))).select("sample_id", "category")
+
+
+@query("""SELECT event_type AS kb_id, count(*)::BIGINT AS n, round(avg(value), 4) AS latency_seconds_avg, round(list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::BIGINT + 1], 4) AS latency_seconds_p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.nearest_rank(table(spark, sf_dir, "events").withColumnRenamed("event_type", "kb_id"), "value", by=["kb_id"])
+
+
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        e.alias("trace_id"), F.element_at(F.array(*map(F.lit, ("", "It is so.", "Insufficient information here.", "The sources conflict."))), (e % 4 + 1).cast("int")).alias("answer"),
+        (e % 5).alias("n_contexts"), F.when(e % 6 == 0, 1).otherwise(0).alias("n_conflicting"), (e % 7).alias("n_retrieved"), (e % 2).alias("n_conflict_claims"), (e % 3).alias("n_insufficiency_claims"),
+        F.array(F.lit("a"), F.lit("b")).alias("retrieved_chunk_ids"), F.when(e % 8 == 0, F.array(F.lit("c"))).otherwise(F.array(F.lit("a"))).alias("reranked_chunk_ids"),
+    )
+
+
+@query("""WITH t AS (SELECT event_id AS id, ['', 'It is so.', 'Insufficient information here.', 'The sources conflict.'][event_id % 4 + 1] AS answer, event_id % 5 AS ctx, event_id % 6 = 0 AS odd, event_id % 7 AS ret FROM events),
+f AS (SELECT id, unnest(list_filter([CASE WHEN odd THEN 'wiki_conflict_detected' END, CASE WHEN odd AND id % 2 = 0 THEN 'conflict_claim_missing' END, CASE WHEN odd AND answer <> '' AND NOT contains(lower(answer), 'conflict') THEN 'conflict_not_reflected_in_answer' END,
+ CASE WHEN ret = 0 THEN 'retrieval_empty' WHEN ctx > 0 AND answer = '' THEN 'generation_empty' WHEN ctx > 0 AND contains(lower(answer), 'insufficient information') THEN 'generation_refusal_with_context' END,
+ CASE WHEN ret > 0 AND ctx > 0 AND contains(lower(answer), 'insufficient information') AND id % 3 = 0 THEN 'insufficiency_claim_missing' END, CASE WHEN ret > 0 AND id % 8 = 0 THEN 'rerank_inconsistent' END], lambda x: x IS NOT NULL)) AS category FROM t)
+SELECT category, count(*)::BIGINT AS n FROM (SELECT category FROM f UNION ALL SELECT 'no_obvious_issue' FROM t WHERE id NOT IN (SELECT id FROM f)) GROUP BY category""")
+def diagnose_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.category_counts(evaluation.diagnose_traces(trace_rows(spark, sf_dir)))
+
+
+@query("""SELECT event_id AS trace_id, CASE WHEN event_id % 11 = 0 THEN 'trace_missing_query' WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN 'diff' ELSE 'identical' END AS status,
+CASE WHEN event_id % 11 = 0 THEN '' ELSE concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'context_ids' END, CASE WHEN event_id % 4 = 0 THEN 'answer' END) END AS diffs FROM events""")
+def replay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"))
+    n = F.col("trace_id")
+    one = e.select("trace_id", F.when(n % 11 == 0, "").otherwise("q").alias("query"), F.lit("yes ").alias("answer"), F.array(F.lit("a"), F.lit("b")).alias("context_ids"), F.array(F.lit("a")).alias("citation_ids"))
+    other = e.select("trace_id", F.lit("q").alias("query"), F.when(n % 4 == 0, "no").otherwise("yes").alias("answer"), F.when(n % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("context_ids"), F.array(F.lit("a")).alias("citation_ids"))
+    return evaluation.replay_diff(one, other).select("trace_id", "status", F.array_join("diffs", ",").alias("diffs"))
+
+
+@query("SELECT round(avg(o_orderkey), 4) AS o_orderkey, round(avg(o_custkey), 4) AS o_custkey, round(avg(o_totalprice), 4) AS o_totalprice FROM orders")
+def numeric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.numeric_means(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+
+
+# --- stores
+
+
+@query("SELECT event_id, event_type, total, total_pages FROM (SELECT event_id, event_type, count(*) OVER ()::BIGINT AS total, ceil(count(*) OVER () / 20.0)::BIGINT AS total_pages FROM events WHERE event_type <> 'click') ORDER BY event_id DESC LIMIT 20 OFFSET 40")
+def trace_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.page(table(spark, sf_dir, "events").filter("event_type <> 'click'").select("event_id", "event_type"), [F.col("event_id").desc()], 3, 20)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.newest(table(spark, sf_dir, "events").select("event_id", "event_type"), 200, ["event_id"])
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 50")
+def retention_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.newest(table(spark, sf_dir, "events").select("event_type", "event_id"), 50, ["event_id"], ["event_type"])
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.latest_by_key(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'replaced' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id + 10000000, 'replaced' FROM documents WHERE doc_id % 100 = 0""")
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = docs.filter("doc_id % 10 = 0").select("doc_id", F.lit("replaced").alias("lang")).unionByName(docs.filter("doc_id % 100 = 0").select(F.col("doc_id") + 10_000_000, F.lit("replaced")).toDF("doc_id", "lang"))
+    return stores.upsert(docs, rows, ["doc_id"])
+
+
+@query(f"SELECT doc_id FROM {DOCUMENTS_SQL} WHERE NOT (source_path = concat(source, '/7.txt') AND kb_id = lang AND doc_id = 7 AND source = (SELECT source FROM documents WHERE doc_id = 7))")
+def delete_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    gone = docs.filter("doc_id = 7").select("source_path", "kb_id")
+    return stores.delete_keys(docs, gone, ["source_path", "kb_id"]).select("doc_id")
+
+
+@query("""SELECT n_name AS kb_id, coalesce(c.n, 0)::BIGINT AS document_count, coalesce(o.n, 0)::BIGINT AS chunk_count, coalesce(t.n, 0)::BIGINT AS trace_count FROM nation
+LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL) c ON c.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) o ON o.k = n_nationkey
+LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM (SELECT * FROM supplier ORDER BY s_suppkey DESC LIMIT 100) GROUP BY ALL) t ON t.k = n_nationkey""")
+def kb_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("kb_id"))
+    customer = table(spark, sf_dir, "customer")
+    docs = customer.join(nation, customer["c_nationkey"] == nation["k"]).select("kb_id", F.col("c_custkey").alias("updated_at"))
+    chunks = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("k")).select("kb_id")
+    traces = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("k")).select("kb_id", F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("updated_at"))
+    return stores.kb_summary(nation.select("kb_id"), docs, chunks, traces).select("kb_id", "document_count", "chunk_count", "trace_count")
+
+
+@query("SELECT lang AS kb_id, doc_id, title, (length(text) // 800 + 1)::BIGINT AS chunk_count FROM (SELECT *, concat('Document ', doc_id) AS title FROM documents) WHERE lang = 'fr'")
+def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    chunks = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (F.length("text") / 800).cast("int"))))
+    return stores.document_list(docs.withColumn("updated_at", F.col("effective_date")), chunks, "fr").select("kb_id", "doc_id", "title", "chunk_count")
+
+
+@query("SELECT n_name AS kb_id FROM nation UNION SELECT r_name FROM region")
+def catalog_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.seed(table(spark, sf_dir, "nation").select(F.col("n_name").alias("kb_id")), table(spark, sf_dir, "region").select(F.col("r_name").alias("kb_id")))
+
+
+@query("SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY variant) - 1 AS variant FROM (SELECT user_id AS query_id, event_type AS text, min(event_id) AS variant FROM events GROUP BY ALL)")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type"), F.lit("\n")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("variant"), mixed.alias("text"))
+    return stores.distinct_variants(rows).select("query_id", F.lower("text").alias("text"), F.col("variant").cast("long").alias("variant"))
+
+
+# --- answers
+
+
+@query("""SELECT event_id, ['insufficiency', 'conflict', 'conditional', 'factual'][event_id % 4 + 1] AS claim_type, 'C' || (event_id % 9) || ',C77' AS labels FROM events""")
+def claim_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    line = F.element_at(F.array(*map(F.lit, ("Evidence is limited here", "Sources disagree", "It holds if asked", "It is blue"))), (e % 4 + 1).cast("int"))
+    raw = F.concat(F.lit("Final Answer:\nYes.\n\nSupporting Claims:\n- "), line, F.lit(" [C"), (e % 9).cast("string"), F.lit("] [C77, C"), (e % 9).cast("string"), F.lit("]\n- None\n"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(answers.supporting_claims(raw)).alias("c"))
+    return rows.select("event_id", "c.claim_type", F.array_join("c.citation_labels", ",").alias("labels"))
+
+
+@query()
+def answer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = sparse_hits(spark, sf_dir, 5).join(asked(spark), "query_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return hits.join(docs, "key").select("query_id", "key", answers.citation_span(F.col("query"), F.col("text")).alias("s")).select("query_id", "key", "s.*")
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+
+
