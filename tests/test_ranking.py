@@ -1,0 +1,94 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.operators import bm25, filters, freshness, fusion, rerank, vectors
+
+HITS = "query_id long, key string, score double, rank int"
+
+
+def test_bm25_formula(spark):
+    docs = spark.createDataFrame([("doc1", "hello world"), ("doc2", "hello python hello"), ("doc3", "world python"), ("doc4", "")], "doc_id string, text string")
+    asked = spark.createDataFrame([(0, "hello hello"), (1, ""), (2, "absent")], "query_id long, query string")
+    rows = bm25.search(docs, asked, 2).orderBy("rank").collect()
+    idf, mean = math.log((4 - 2 + 0.5) / 2.5 + 1), 7 / 4
+    part = lambda tf, dl: 2 * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))
+    assert [(r.query_id, r.key, r["rank"]) for r in rows] == [(0, "doc2", 1), (0, "doc1", 2)]
+    assert [r.score for r in rows] == pytest.approx([part(2, 3), part(1, 2)])
+    scope = spark.createDataFrame([(0, "doc1")], "query_id long, key string")
+    assert bm25.search(docs, asked, 2, allowed=scope).first().score == pytest.approx(part(1, 2))
+    assert bm25.search(docs.limit(0), asked, 2).count() == 0
+
+
+def test_vectors(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0, 1.0]), ("d", [1.0, 0.0]), ("e", None)], "key string, vector array<float>")
+    asked = spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, vector array<float>")
+    assert [(r.key, round(r.score, 4)) for r in vectors.search(chunks, asked, 3).orderBy("rank").collect()] == [("a", 1.0), ("d", 1.0), ("c", 0.7071)]
+    assert [r.key for r in vectors.search_overfetch(chunks, asked, 2, F.col("key") != "a").orderBy("rank").collect()] == ["d", "c"]
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.search(spark.createDataFrame([("a", [1.0])], "key string, vector array<float>"), asked, 1).collect()
+    assert chunks.filter("key = 'b'").select(vectors.cosine(F.col("vector"), F.array(F.lit(1.0), F.lit(0.0)))).first()[0] == 0.0
+
+
+def lists(spark):
+    dense = spark.createDataFrame([(0, "doc1", 0.9, 1), (0, "doc2", 0.8, 2), (0, "doc3", 0.7, 3)], HITS)
+    sparse = spark.createDataFrame([(0, "doc2", 1.0, 1), (0, "doc4", 0.9, 2), (0, "doc1", 0.8, 3)], HITS)
+    return dense, sparse
+
+
+def test_fusion(spark):
+    dense, sparse = lists(spark)
+    rows = fusion.reciprocal_ranks(dense, sparse).orderBy("rank").collect()
+    assert [r.key for r in rows] == ["doc1", "doc2", "doc3", "doc4"]
+    assert rows[0].fused == pytest.approx(0.7 / 61 + 0.3 / 63)
+    assert fusion.weighted_scores(dense, sparse).orderBy("rank").first().key == "doc2"
+    assert fusion.reciprocal_ranks(dense.limit(0), sparse).count() == 3 and fusion.reciprocal_ranks(dense.limit(0), sparse.limit(0)).count() == 0
+    kept = {r.key: r.score for r in fusion.hybrid(dense, sparse, 4).collect()}
+    assert kept["doc1"] == 0.9 and kept["doc4"] == pytest.approx(0.3 / 62)
+    assert [r.key for r in fusion.priority_merge(sparse, dense, 4).orderBy("rank").collect()] == ["doc2", "doc4", "doc1", "doc3"]
+    single = fusion.variants(dense.withColumn("variant", F.lit(0)), 2).orderBy("rank").collect()
+    assert [r.score for r in single] == [0.9, 0.8]
+    two = dense.withColumn("variant", F.lit(0)).unionByName(sparse.withColumn("variant", F.lit(1)))
+    assert fusion.variants(two, 1).first().key == "doc2"
+    with pytest.raises(ValueError):
+        fusion.Fusion(-1, 1)
+
+
+def test_filters(spark):
+    row = spark.createDataFrame([("Leave POLICY of 2026 v2.1",)], "q string").select(filters.infer("q").alias("f")).first().f
+    assert (row.doc_types, row.version, row.date_from, row.date_to, row.soft) == (["policy"], "v2.1", "2026-01-01", "2026-12-31", True)
+    row = spark.createDataFrame([("from 2024/3/5",)], "q string").select(filters.infer("q").alias("f")).first().f
+    assert (row.doc_types, row.date_from, row.date_to) == (None, None, "2024-03-05")
+    chunks = spark.createDataFrame([("a", "policy", "v2", "2026-05-01"), ("b", "faq", "v2", "2026-05-01"), ("c", None, None, None), ("d", "policy", None, "bad")], "id string, t string, v string, d string")
+
+    def ids(types=None, version=None, low=None, high=None, soft=False):
+        f = F.struct((F.array(*map(F.lit, types)) if types else F.lit(None)).cast("array<string>").alias("doc_types"), F.lit(version).cast("string").alias("version"), F.lit(low).cast("string").alias("date_from"), F.lit(high).cast("string").alias("date_to"), F.lit(soft).alias("soft")).cast(filters.KIND)
+        return [r.id for r in chunks.filter(filters.matches(f, F.col("t"), F.col("v"), F.col("d"))).orderBy("id").collect()]
+
+    assert ids() == ["a", "b", "c", "d"] and ids(["POLICY"]) == ["a", "d"] and ids(["policy"], soft=True) == ["a", "c", "d"]
+    assert ids(version="V2") == ["a", "b"] and ids(low="2026-01-01", high="2026年12月31日") == ["a", "b"]
+    replies = spark.createDataFrame([("why\n0.8 good\n0.1",), ("7",), ("none",), (None,)], "r string").select(filters.relevance_score("r").alias("s")).collect()
+    assert [r.s for r in replies] == [0.8, 1.0, 0.5, 0.5]
+
+
+def test_freshness(spark):
+    rows = [
+        (0, 1, "old", 2.0, "k", "2025-01-01", "v9", None), (0, 2, "new", 1.0, "k", "2026-01-01", "v1", None), (0, 3, "low", 1.0, "m", None, "v1.2", None), (0, 4, "high", 1.0, "m", None, "v1.10", None),
+        (0, 5, "free", 1.0, None, None, None, None), (0, 6, "topic", 1.0, "k", None, None, "topic"), (0, 7, "free2", 1.0, " ", None, None, None),
+    ]
+    hits = spark.createDataFrame(rows, "query_id long, rank int, chunk_id string, score double, source_key string, d string, v string, wiki_kind string")
+    key = freshness.group_key(F.col("wiki_kind"), F.col("source_key"), F.lit("S"), F.lit(None).cast("string"), F.lit(None), F.col("chunk_id"))
+    kept = freshness.latest(hits, key, F.col("d"), F.col("v")).orderBy("rank").collect()
+    assert [(r.chunk_id, r.freshness_tier) for r in kept] == [("new", "primary"), ("high", "primary"), ("free", None), ("topic", None), ("free2", None)]
+    child = freshness.group_key(F.lit(None).cast("string"), F.col("source_key"), F.lit("S"), F.lit("child"), F.col("rank"), F.col("chunk_id"))
+    assert freshness.latest(hits, child, F.col("d"), F.col("v")).count() == 7
+
+
+def test_rerank(spark):
+    rows = [(0, 1, 0.5, "topic", "stable", "Leave policy", "policy", "2020-01-01"), (0, 2, 0.6, "source", "conflicting", "", "", None), (0, 3, 0.55, None, None, "", "", "2030-01-01")]
+    hits = spark.createDataFrame(rows, "query_id long, rank int, score double, kind string, status string, section string, t string, d string")
+    adjust = rerank.adjustment(F.lit("leave-days"), F.col("kind"), F.col("status"), F.col("section"), F.col("t"), F.col("d"), F.lit("2025-06-01").cast("date"))
+    got = rerank.rerank(hits, 3, adjust).orderBy("rank").collect()
+    assert [round(r.score, 4) for r in got] == [0.95, 0.67, 0.35]
+    assert rerank.rerank(hits, 2, adjust, lambda df: df.filter("rank > 1").withColumn("model_score", F.lit(0.0))).count() == 2
