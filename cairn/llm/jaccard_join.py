@@ -8,19 +8,21 @@ token that they share and dissimilar ones part. Nodes with few sets are
 compared by brute force; larger ones are split a level deeper. Runs repeat
 until pairs at the threshold meet with the wanted recall.
 
-Sets that stay together to the last level are copies of each other but for a
-few words. They are compared with one member of their node, which is linear,
-and links among the rest follow below. A candidate pair passes a size test and
-a sketch of 64 two-bit minima (that a pair at the threshold fails once in some
-10,000 times, in each of the runs that meet it), and is then verified on the
-whole sets.
+A candidate pair of a small node passes a size test and a sketch of 64 two-bit
+minima (that a pair at the threshold fails once in some 10,000 times, in each
+of the runs that meet it), and is then verified on the whole sets.
+
+Sets that stay together to the last level are much alike, and more levels
+would not part them. Nodes that share members are one dense group. In it every
+pair of different sets is compared, exactly, as products of incidence matrices
+of bounded blocks; of the links found only a spanning forest of each pair of
+blocks leaves. A group of many blocks is spread over tasks by pairs of blocks,
+and no pairs are ever listed.
 
 Verified links make components, by propagating the least label with pointer
-jumping. Within each component every pair of different sets is then compared,
-exactly, as products of incidence matrices of bounded blocks, and only the
-number of links leaves: so links that the walk missed inside a component count,
-and no pairs are ever listed. A component of many blocks is spread over tasks
-by pairs of blocks.
+jumping. Within each component all pairs are compared in the same way to count
+the links, so those that the walk missed inside a component count too. Work
+inside a group grows with the square of its different sets; rows do not.
 
 Equal sets are one class and are walked once. Texts without words are in no
 class but their own. A text of one to four words is one run of all of them.
@@ -49,7 +51,7 @@ WIDTH = 5
 SMALL_NODE = 24
 DEPTH = 3
 BLOCK_SETS, BLOCK_BYTES = 2048, 6 << 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def runs_for(recall: float) -> int:
@@ -179,12 +181,12 @@ def _rep_sets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.filter((F.col("doc_id").eqNullSafe(F.col("rep"))) & (F.col("text_hash") == F.col("rep_hash"))).drop("doc_id", "text_hash", "rep", "rep_hash")
 
 
-def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Plausible pairs of different sets, met on some path."""
-    spark = sets.sparkSession
+def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame | None]:
+    """Plausible pairs of different sets, met on some path; and for nodes that did not part, each member with one of its node."""
     runs = runs_for(recall)
     reps = classes.select("key", "rep", "rep_hash")
     found: DataFrame | None = None
+    dense: DataFrame | None = None
     step = walk(sets.filter("n > 0"), _roots(runs), threshold)
     for level in range(1, DEPTH + 1):
         # copies of a set make equal rows, which are merged before the exchange
@@ -198,19 +200,12 @@ def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: fl
         if large.isEmpty():
             break
         if level == DEPTH:
-            found = found.unionByName(_pairs_with_pivots(large, threshold))
+            first = large.groupBy("node").agg(F.min("key").alias("b"))
+            dense = materialise(large.join(first, "node").filter("key <> b").select(F.col("key").alias("a"), "b").distinct(), "dense")
             break
         open_ = large.groupBy("key").agg(F.collect_list(F.struct("node", "run")).alias("nodes")).join(reps, "key")
         step = walk(_rep_sets(sets, materialise(open_, f"open-{level}")), None, threshold)
-    return materialise(found.distinct(), "candidates") if found is not None else spark.createDataFrame([], "a binary, b binary")
-
-
-def _pairs_with_pivots(large: DataFrame, threshold: float) -> DataFrame:
-    """Members of nodes that did not part, each with one member of its node."""
-    order = F.xxhash64("node", "key")
-    pivots = large.groupBy("node").agg(F.min_by(F.struct("key", "n", "sketch"), order).alias("p"))
-    both = large.join(pivots, "node").filter(F.col("key") != F.col("p.key")).filter(F.least("n", "p.n") >= threshold * F.greatest("n", "p.n") - 1e-9)
-    return both.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"))
+    return materialise(found.distinct(), "candidates"), dense
 
 
 def verified(pairs: DataFrame, needed: DataFrame, threshold: float) -> DataFrame:
@@ -245,35 +240,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """``key, links``: for ``members(comp, key, tokens, texts)``, the texts of other sets in its component that it is linked to."""
+def compare_within(members: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of each group of ``members(comp, key, tokens, texts)``, in blocks.
+
+    Rows ``key, other, links``: with ``other`` null, how many texts of one other
+    block the key is linked to; else a link of the pair of blocks' forest.
+    """
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("tokens")).alias("bytes"))
     blocks = sizes.select("comp", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
     faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     faced = faced.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "texts", "tokens")
     sorted_ = faced.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    schema = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
+
+    def made(group: tuple, held: list[tuple]) -> pa.RecordBatch:
+        out = _compared(group, held, threshold) if held else []
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
             at = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
             own, keys, texts = (batch.column(c).to_pylist() for c in ("own", "key", "texts"))
-            keys_out, links_out = [], []
+            parts = []
             for k in range(batch.num_rows):
                 if at[k] != group:
-                    if held:
-                        _count(group, held, threshold, keys_out, links_out)
+                    parts.append(made(group, held))
                     group, held = at[k], []
                 held.append((own[k], keys[k], texts[k], np.frombuffer(batch.column("tokens")[k].as_py(), "<u4")))
-            if keys_out:
-                yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.binary()), pa.array(links_out, pa.int64())], ["key", "links"])
-        if held:
-            keys_out, links_out = [], []
-            _count(group, held, threshold, keys_out, links_out)
-            yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.binary()), pa.array(links_out, pa.int64())], ["key", "links"])
+            if parts:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
+        yield made(group, held)
 
-    return sorted_.mapInArrow(run, "key binary, links long").groupBy("key").agg(F.sum("links").alias("links"))
+    return sorted_.mapInArrow(run, "key binary, other binary, links long")
 
 
 def _shared(one: list[np.ndarray], other: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -295,21 +295,41 @@ def _shared(one: list[np.ndarray], other: list[np.ndarray], columns: int = 2048)
     return out
 
 
-def _count(group: tuple, held: list[tuple], threshold: float, keys: list[bytes], links: list[int]) -> None:
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links, as ``(row, column)``, that connect whatever all links of a block pair connect."""
+    rows, columns, out = np.zeros(len(linked), bool), np.zeros(linked.shape[1], bool), []
+    for first in np.flatnonzero(linked.any(axis=1)).tolist():
+        if rows[first]:
+            continue
+        rows[first], open_ = True, [(True, first)]
+        while open_:
+            is_row, at = open_.pop()
+            line, seen = (linked[at], columns) if is_row else (linked[:, at], rows)
+            fresh = np.flatnonzero(line & ~seen).tolist()
+            seen[fresh] = True
+            out += [(at, k) if is_row else (k, at) for k in fresh]
+            open_ += [(not is_row, k) for k in fresh]
+    return out
+
+
+def _compared(group: tuple, held: list[tuple], threshold: float) -> list[tuple]:
+    """Rows ``(key, other, links)`` of a pair of blocks."""
     _, i, j = group
     first, second = [h for h in held if h[0] == i], [h for h in held if h[0] == j]
     if not first or not second:
-        return
+        return []
     shared = _shared([h[3] for h in first], [h[3] for h in second])
     n1, n2 = np.array([len(h[3]) for h in first], np.float32)[:, None], np.array([len(h[3]) for h in second], np.float32)[None, :]
-    linked = (shared >= threshold * (n1 + n2 - shared) - 1e-3).astype(np.float32)
+    linked = shared >= threshold * (n1 + n2 - shared) - 1e-3
     if i == j:
-        np.fill_diagonal(linked, 0)
-    keys += [h[1] for h in first]
-    links += (linked @ np.array([h[2] for h in second], np.float64)).astype(np.int64).tolist()
+        np.fill_diagonal(linked, False)
+    weigh = lambda matrix, other: (matrix.astype(np.float32) @ np.array([h[2] for h in other], np.float64)).astype(np.int64).tolist()
+    out = [(h[1], None, n) for h, n in zip(first, weigh(linked, second), strict=True)]
     if i != j:
-        keys += [h[1] for h in second]
-        links += (linked.T @ np.array([h[2] for h in first], np.float64)).astype(np.int64).tolist()
+        out += [(h[1], None, n) for h, n in zip(second, weigh(linked.T, first), strict=True)]
+    # a diagonal block's rows are its columns, so each set stands for itself on both sides
+    tied = linked | np.eye(len(first), dtype=bool) & linked.any(axis=1)[:, None] if i == j else linked
+    return out + [(first[r][1], second[c][1], None) for r, c in _forest(tied) if first[r][1] != second[c][1]]
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_links: bool = True) -> DataFrame:
@@ -321,12 +341,20 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_l
     sets = materialise(token_sets(docs), "token-sets", "none")
     texts = sets.filter("n > 0").groupBy("key", "text_hash").agg(F.min("doc_id").alias("id"))
     classes = materialise(texts.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text_hash", F.struct(F.coalesce("id", F.lit(2**63 - 1)), "text_hash")).alias("rep_hash"), F.count(F.lit(1)).alias("texts")), "classes")
-    pairs = candidates(sets, classes, threshold, recall)
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    pairs, dense = candidates(sets, classes, threshold, recall)
+    met = pairs if dense is None else pairs.unionByName(dense)
+    ends = met.select(F.col("a").alias("key")).unionByName(met.select(F.col("b").alias("key"))).distinct()
     needed = materialise(_rep_sets(sets, materialise(ends.join(classes, "key"), "ends")), "needed-sets", "none")
-    links = materialise(verified(pairs, needed, threshold), "links")
+    links = verified(pairs, needed, threshold)
+    if dense is not None:
+        found = compare_within(components(dense).join(needed, "key").select("comp", "key", "tokens", "texts"), threshold)
+        links = links.unionByName(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    links = materialise(links.distinct(), "links")
     comps = components(links)
-    counts = link_counts(comps.join(needed, "key").select("comp", "key", "tokens", "texts"), threshold) if count_links else comps.select("key", F.lit(1).cast("long").alias("links"))
+    if count_links:
+        counts = compare_within(comps.join(needed, "key").select("comp", "key", "tokens", "texts"), threshold).filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
+    else:
+        counts = comps.select("key", F.lit(1).cast("long").alias("links"))
     named = comps.join(classes.select("key", "rep"), "key")
     heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
     found = materialise(named.join(heads, "comp").join(counts, "key").select("key", "class_id", "links"), "classes-found")
