@@ -237,9 +237,9 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?。！？]\s*'), lambda x: regexp_matches(x, '\S')))::INTEGER AS chunks FROM documents WHERE NOT regexp_matches(text, '[.!?]\s*[.!?]')")
+@query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\S')))::INTEGER AS n FROM documents")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[.!?]\s*[.!?]")).select("doc_id", F.size(T.sentences("text")).alias("chunks"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences("text")).alias("n"))
 
 
 @query(r"""SELECT event_id, coalesce(CASE WHEN isnan(v) THEN NULL ELSE v END, 0.0) AS value FROM (SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN value::VARCHAR WHEN event_id % 3 = 1 THEN 'n/a' ELSE 'NaN' END AS DOUBLE) AS v FROM events)""")
@@ -393,7 +393,9 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "kb_id", F.col("title"), "source_path", "text", F.lit("document").alias("doc_type"), "source_key", "version", "effective_date")
     lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) >= 5) & (F.length(x) <= 25))
-    return docs.withColumns({"headings": F.slice(F.transform(lines, lambda x: F.element_at(F.split(x, " "), 1)), 1, 20), "summary": T.page_preview("text", 120), "key_passages": F.array(T.page_preview(F.substring("text", 1, 90), 180))}).drop("text")
+    heads = docs.select("doc_id", F.slice(F.transform(lines, lambda x: F.element_at(F.split(x, " "), 1)), 1, 20).alias("headings"))
+    pages = wiki.source_pages(docs, chunking.build_chunks(docs.select("doc_id", "source_path", "title", "text"))).drop("headings")
+    return pages.join(heads, "doc_id")
 
 
 TOPIC_SQL = f"""page AS (SELECT doc_id, kb_id, title, list_slice(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 5 AND 25), lambda x: string_split(x, ' ')[1]), 1, 20) AS headings FROM {DOCUMENTS_SQL}),
@@ -412,24 +414,27 @@ def wiki_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.topics(wiki_pages(spark, sf_dir)).select("kb_id", "topic", "slug", "n_entries", "n_facts", "n_conflicts", "status", "summary")
 
 
-CONFLICT_SQL = """said AS (SELECT doc_id, source AS title, lang AS kb_id, concat(left(text, 60), CASE WHEN doc_id % 4 = 0 THEN ' not so' ELSE '' END, ' ', doc_id % 3) AS said FROM documents WHERE doc_id < 400),
-mark AS (SELECT *, contains(' ' || lower(said) || ' ', ' not ') OR contains(' ' || lower(said) || ' ', ' no ') OR contains(' ' || lower(said) || ' ', ' never ') AS neg,
- list_sort(list_distinct(regexp_extract_all(said, '\\b\\d+\\b'))) AS nums FROM said)"""
+NEGATED_SQL = " OR ".join(f"contains(w, '{m.replace(chr(39), chr(39) * 2)}')" for m in wiki.NEGATIONS)
 
 
-@query(f"WITH {CONFLICT_SQL} SELECT l.kb_id, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id FROM mark l JOIN mark r ON l.kb_id = r.kb_id AND l.doc_id < r.doc_id AND l.title <> r.title WHERE l.neg <> r.neg OR l.nums <> r.nums")
+@query(rf"""WITH said AS (SELECT doc_id, source AS title, lang AS kb_id, 'key' || (doc_id % 499) AS topic, regexp_replace(trim(text, ' ' || chr(9) || chr(10)) || ' ' || (doc_id % 3), '^\s+|\s+$', '', 'g') AS said FROM documents),
+mark AS (SELECT *, {NEGATED_SQL} AS neg, list_sort(list_distinct(regexp_extract_all(said, '\b\d+\b'))) AS nums, contains(w, topic) AS near FROM (SELECT *, ' ' || lower(said) || ' ' AS w FROM said)),
+pair AS (SELECT l.kb_id, l.topic, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id, row_number() OVER (PARTITION BY l.kb_id, l.topic ORDER BY l.doc_id, r.doc_id) AS position
+  FROM mark l JOIN mark r ON l.kb_id = r.kb_id AND l.topic = r.topic AND l.doc_id < r.doc_id AND l.title <> r.title
+  WHERE l.neg <> r.neg OR (len(l.nums) > 0 AND len(r.nums) > 0 AND l.nums <> r.nums AND (l.near OR r.near)))
+SELECT * FROM pair WHERE position <= 4""")
 def wiki_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 400")
-    said = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 4 == 0, " not so").otherwise(""), F.lit(" "), (F.col("doc_id") % 3).cast("string"))
-    entries = docs.select(F.col("lang").alias("kb_id"), F.lit("-").alias("topic"), "doc_id", F.col("source").alias("title"), said.alias("summary"), F.array().cast("array<string>").alias("key_passages"))
-    return wiki.conflicts(entries, None).select("kb_id", "l_doc_id", "r_doc_id")
+    said = F.concat(T.strip("text"), F.lit(" "), (F.col("doc_id") % 3).cast("string"))
+    topic = F.concat(F.lit("key"), (F.col("doc_id") % 499).cast("string"))
+    entries = table(spark, sf_dir, "documents").select(F.col("lang").alias("kb_id"), topic.alias("topic"), "doc_id", F.col("source").alias("title"), said.alias("summary"), F.array().cast("array<string>").alias("key_passages"))
+    return wiki.conflicts(entries).select("kb_id", "topic", "l_doc_id", "r_doc_id", "position")
 
 
 @query()
 def wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = wiki_pages(spark, sf_dir)
-    topic = wiki.topics(pages)
-    everything = wiki.search_pages(topic, pages, wiki.index_pages(topic, pages))
+    pages = wiki_pages(spark, sf_dir).persist()  # several branches read each
+    topic = wiki.topics(pages).persist()
+    everything = wiki.search_pages(topic, pages, wiki.index_pages(topic, pages)).persist()
     scoped = asked(spark).withColumn("kb_id", F.element_at(F.array(*map(F.lit, ("en", "fr", "es", "en", "de"))), (F.col("query_id") + 1).cast("int")))
     return wiki.search(everything, scoped, 5).select("query_id", "key", "kind", F.round("score", 6).alias("score"), "rank")
 

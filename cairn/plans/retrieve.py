@@ -42,7 +42,7 @@ def scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     wanted = filters.merge(F.col("filters"), filters.infer("query")) if "filters" in queries.columns else filters.infer("query")
     asked = queries.select("query_id", F.coalesce("kb_id", F.lit("default")).alias("__kb"), wanted.alias("__f")).dropDuplicates(["query_id"])
     held = chunks.select(F.col("chunk_id").alias("key"), F.coalesce("kb_id", F.lit("default")).alias("__own"), "doc_type", "version", "effective_date")
-    met = held.join(F.broadcast(asked), F.col("__own") == F.col("__kb"))  # a row for each query
+    met = held.join(asked, F.col("__own") == F.col("__kb"))
     return met.filter(filters.matches(F.col("__f"), F.col("doc_type"), F.col("version"), F.col("effective_date"))).select("query_id", "key")
 
 
@@ -58,7 +58,7 @@ def lists(queries: DataFrame, chunks: DataFrame, how: Settings = Settings()) ->
 def _scoped_vectors(queries: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """Exact search among the chunks that each query may see."""
     asked = queries.select("query_id", F.col("vector").alias("q")).filter("q IS NOT NULL")
-    pairs = allowed.join(F.broadcast(asked), "query_id").join(chunks.select(F.col("chunk_id").alias("key"), F.col("vector").alias("v")).filter("v IS NOT NULL"), "key")
+    pairs = allowed.join(asked, "query_id").join(chunks.select(F.col("chunk_id").alias("key"), F.col("vector").alias("v")).filter("v IS NOT NULL"), "key")
     return bm25.top(pairs.select("query_id", "key", vectors.cosine(F.col("q"), F.col("v")).alias("score")), k)
 
 
