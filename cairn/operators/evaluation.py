@@ -183,3 +183,12 @@ def replay_diff(original: DataFrame, replayed: DataFrame) -> DataFrame:
     diffs = F.array_compact(F.array(changed("context_ids"), changed("citation_ids"), F.when((one != "") & (other != "") & (one != other), "answer")))
     state = F.when(F.coalesce(F.col("o.query"), F.lit("")) == "", "trace_missing_query").when(F.size(diffs) > 0, "diff").otherwise("identical")
     return both.select("trace_id", state.alias("status"), F.when(state == "trace_missing_query", F.array().cast("array<string>")).otherwise(diffs).alias("diffs"))
+
+
+def trace_summary(traces: DataFrame) -> DataFrame:
+    """``trace_id`` and counts of ``contexts`` (all, conflicting) and ``supporting_claims`` (all, conflicts, insufficiencies)."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return traces.select(
+        "trace_id", size("contexts").alias("context_count"), conflicting_contexts(F.col("contexts")).alias("conflicting_context_count"), size("supporting_claims").alias("claim_count"),
+        F.greatest(claim_count(F.col("supporting_claims"), "conflict"), F.lit(0)).alias("conflict_claim_count"), F.greatest(claim_count(F.col("supporting_claims"), "insufficiency"), F.lit(0)).alias("insufficiency_claim_count"),
+    )

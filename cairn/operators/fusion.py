@@ -64,6 +64,14 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int, how: Fusion = Fusion())
     return fused.withColumn("score", F.coalesce("dense_score", "fused"))
 
 
+def overfetched(dense: DataFrame, sparse: DataFrame, kept: DataFrame, k: int, how: Fusion = Fusion()) -> DataFrame:
+    """Weighted sums of two lists of ``max(4k, 20)``, then the predicate (``kept(key)``), then the best ``k``: may be fewer."""
+    wide = max(4 * k, 20)
+    both = dense.filter(F.col("rank") <= wide).select("query_id", "key", (F.lit(how.dense_weight) * F.col("score")).alias("part")).unionByName(sparse.filter(F.col("rank") <= wide).select("query_id", "key", (F.lit(how.sparse_weight) * F.col("score")).alias("part")))
+    fused = top(both.groupBy("query_id", "key").agg(F.sum("part").alias("score")), wide).drop("rank")
+    return top(fused.join(kept.select("key").distinct(), "key", "left_semi"), k)
+
+
 def priority_merge(first: DataFrame, then: DataFrame, k: int) -> DataFrame:
     """``first`` in its order, then what of ``then`` is new, up to ``k`` in all."""
     both = first.select("query_id", "key", "score", "rank", F.lit(0).alias("list")).unionByName(then.select("query_id", "key", "score", "rank", F.lit(1).alias("list")))
@@ -72,4 +80,4 @@ def priority_merge(first: DataFrame, then: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "key", F.col("b.score").alias("score"), "rank")
 
 
-__all__ = ["Fusion", "hybrid", "priority_merge", "reciprocal_ranks", "top", "variants", "weighted_scores"]
+__all__ = ["Fusion", "hybrid", "overfetched", "priority_merge", "reciprocal_ranks", "top", "variants", "weighted_scores"]
