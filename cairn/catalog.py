@@ -417,7 +417,7 @@ def wiki_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEGATED_SQL = " OR ".join(f"contains(w, '{m.replace(chr(39), chr(39) * 2)}')" for m in wiki.NEGATIONS)
 
 
-@query(rf"""WITH said AS (SELECT doc_id, source AS title, lang AS kb_id, 'key' || (doc_id % 499) AS topic, regexp_replace(trim(text, ' ' || chr(9) || chr(10)) || ' ' || (doc_id % 3), '^\s+|\s+$', '', 'g') AS said FROM documents),
+@query(rf"""WITH said AS (SELECT doc_id, source AS title, lang AS kb_id, 'key' || (doc_id % 99) AS topic, regexp_replace(trim(text, ' ' || chr(9) || chr(10)) || ' ' || (doc_id % 3), '^\s+|\s+$', '', 'g') AS said FROM documents),
 mark AS (SELECT *, {NEGATED_SQL} AS neg, list_sort(list_distinct(regexp_extract_all(said, '\b\d+\b'))) AS nums, contains(w, topic) AS near FROM (SELECT *, ' ' || lower(said) || ' ' AS w FROM said)),
 pair AS (SELECT l.kb_id, l.topic, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id, row_number() OVER (PARTITION BY l.kb_id, l.topic ORDER BY l.doc_id, r.doc_id) AS position
   FROM mark l JOIN mark r ON l.kb_id = r.kb_id AND l.topic = r.topic AND l.doc_id < r.doc_id AND l.title <> r.title
@@ -425,7 +425,7 @@ pair AS (SELECT l.kb_id, l.topic, l.doc_id AS l_doc_id, r.doc_id AS r_doc_id, ro
 SELECT * FROM pair WHERE position <= 4""")
 def wiki_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(T.strip("text"), F.lit(" "), (F.col("doc_id") % 3).cast("string"))
-    topic = F.concat(F.lit("key"), (F.col("doc_id") % 499).cast("string"))
+    topic = F.concat(F.lit("key"), (F.col("doc_id") % 99).cast("string"))
     entries = table(spark, sf_dir, "documents").select(F.col("lang").alias("kb_id"), topic.alias("topic"), "doc_id", F.col("source").alias("title"), said.alias("summary"), F.array().cast("array<string>").alias("key_passages"))
     return wiki.conflicts(entries).select("kb_id", "topic", "l_doc_id", "r_doc_id", "position")
 
