@@ -3,6 +3,9 @@
 Each query runs an operator over a whole table; columns that the tables lack
 (knowledge bases, versions, dates, wiki kinds) derive from ids, in both engines
 alike. SQL is DuckDB's.
+
+Six vector searches and fusions ask with ``vec_id < 5`` only, as their SQL does;
+those named ``..._every`` ask with every vector whose id is divisible by 100.
 """
 
 from __future__ import annotations
@@ -96,13 +99,13 @@ def rounded(hits: DataFrame, *extra: str) -> DataFrame:
     return hits.select("query_id", "key", F.round("score", 6).alias("score"), "rank", *extra)
 
 
-def sparse_hits(spark: SparkSession, sf_dir: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    return bm25.search(table(spark, sf_dir, "documents"), asked(spark), k, allowed=allowed)
+def sparse_hits(spark: SparkSession, sf_dir: str, k: int, allowed: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"), asked(spark) if queries is None else queries, k, allowed=allowed)
 
 
-def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def dense_hits(spark: SparkSession, sf_dir: str, k: int, wanted: str = "vec_id < 5") -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return vectors.search(rows, rows.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k, "vec_id", "embedding")
+    return vectors.search(rows, rows.filter(wanted).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k, "vec_id", "embedding")
 
 
 # --- inverted index, vectors, fusion
@@ -192,6 +195,57 @@ def priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.priority_merge(sparse_hits(spark, sf_dir, 4), dense_hits(spark, sf_dir, 20), 10))
 
 
+# --- the same searches for every vector whose id is divisible by 100; texts are asked in turn
+
+EVERY = "vec_id % 100 = 0"
+ASKED_EVERY_SQL = f"(SELECT vec_id AS query_id, query FROM embeddings JOIN {ASKED_SQL} ON vec_id // 100 % {len(ASKED)} = asked.query_id WHERE {EVERY}) AS asked_every"
+
+
+def every_sql(name: str) -> str:
+    return ORACLES[name].replace("q.vec_id < 5", f"q.{EVERY}").replace(ASKED_SQL, ASKED_EVERY_SQL)
+
+
+def every_hits(spark: SparkSession, sf_dir: str, dense_k: int, sparse_k: int) -> tuple[DataFrame, DataFrame]:
+    ids = table(spark, sf_dir, "embeddings").filter(EVERY).select("vec_id")
+    texts = asked(spark).withColumnRenamed("query_id", "turn")
+    queries = ids.join(F.broadcast(texts), F.expr(f"vec_id div 100 % {len(ASKED)}") == F.col("turn")).select(F.col("vec_id").alias("query_id"), "query")
+    return dense_hits(spark, sf_dir, dense_k, EVERY), sparse_hits(spark, sf_dir, sparse_k, queries=queries)
+
+
+@query(every_sql("vector_topk"))
+def vector_topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dense_hits(spark, sf_dir, 10, EVERY))
+
+
+@query(every_sql("vector_overfetch"))
+def vector_overfetch_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.filter(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(vectors.search_overfetch(rows, wanted, 5, F.col("label") % 2 == 0, "vec_id", "embedding"))
+
+
+@query(every_sql("rrf_fusion"))
+def rrf_fusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.reciprocal_ranks(*every_hits(spark, sf_dir, 20, 20)).select("query_id", "key", F.round("fused", 9).alias("fused"), "rank")
+
+
+@query(every_sql("score_fusion"))
+def score_fusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.weighted_scores(*every_hits(spark, sf_dir, 20, 20)).select("query_id", "key", F.round("fused", 6).alias("fused"), "rank")
+
+
+@query(every_sql("hybrid_retrieve"))
+def hybrid_retrieve_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.hybrid(*every_hits(spark, sf_dir, 20, 20), 10)
+    return hits.select("query_id", "key", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"), "rank")
+
+
+@query(every_sql("priority_merge"))
+def priority_merge_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, sparse = every_hits(spark, sf_dir, 20, 4)
+    return rounded(fusion.priority_merge(sparse, dense, 10))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval with each hit's document and a preview."""
     hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20), 10)
