@@ -28,8 +28,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 
-WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:A3T[A-Z0-9]|ABIA|ACCA|AGPA|AIDA|AKIA|AROA|ASIA)[A-Z0-9]{8,32}(?![A-Za-z0-9])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
+WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:A3T[A-Z0-9]|ABIA|ACCA|AGPA|AIDA|AKIA|AROA|ASIA)[A-Z0-9]{8,}(?![A-Za-z0-9])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{4,}"
 #: The role of each kind in a credential.
 ROLES = {"assign": "secret", "access": "access", "hex": "secret", "weak_access": "access", "weak_secret": "secret", "endpoint": "endpoint"}

@@ -292,6 +292,15 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [f"{aws} {key}"] * 3, [1, 1, None])).count() == 3
 
 
+def test_long_weak_parts_are_linked(spark):
+    key, access, url = "aB3" * 60, "ASIA" + "A1B2C3D4" * 6, "https://db.example.com/x"
+    whole = "Zz9/" * 5000
+    got = {r.doc_id: r["all"] for r in secret_scan.scan(docs(spark, [f"{url} {access} {key}", f"{whole} {url}", key])).collect()}
+    found = lambda i, t: {(secret_scan.KINDS[s.kind], t[s.start : s.end]) for s in got[i]}
+    assert found(0, f"{url} {access} {key}") >= {("weak_access", access), ("weak_secret", key), ("endpoint", url)}
+    assert ("weak_secret", whole) in found(1, f"{whole} {url}") and not got[2]
+
+
 # --- training order
 
 
