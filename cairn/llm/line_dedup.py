@@ -5,10 +5,10 @@ lower-cased. Keys of ``least_chars`` code points or more that at least
 ``least_docs`` documents hold lose their lines in all of them but the one with
 the largest id.
 
-Only 128-bit hashes leave a document. Each document gives a key once, and the
-rows of a key are counted before they are exchanged, by key and one of
-``salts`` groups of documents, so a line that a third of all documents hold
-costs each task a handful of rows. The counts are then range-partitioned by
+Only 128-bit hashes leave a document. Each row gives a key once. Distinct ids of
+a key are counted by key and one of ``salts`` groups of documents: rows are
+dealt by key and id, so that a line that a third of all documents hold is spread
+over all tasks, and each task's counts are added up. The counts are then range-partitioned by
 hash with a secondary sort by document, and one pass streams each key's first
 occurrence (its last document) and its number of documents. What returns to a
 document is a bitmap of lines to drop, in 64-bit words of which only those with
@@ -44,7 +44,7 @@ def _hashed(text: Column, least_chars: int) -> Column:
 def recurring_keys(lines: DataFrame, least_docs: int, salts: int = 64) -> DataFrame:
     """``a, b, keeper`` of the keys to thin, from ``lines(id, own array<struct<a, b, at>>)``."""
     once = lines.select("id", F.explode(F.array_distinct(F.transform("own", lambda x: F.struct(x.a.alias("a"), x.b.alias("b"))))).alias("k"))
-    part = once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.pmod("id", F.lit(salts)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    part = once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.pmod("id", F.lit(salts)).alias("salt")).agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
     ranged = part.repartitionByRange("a", "b").sortWithinPartitions("a", "b", F.col("last").desc())
     key = Window.partitionBy("a", "b")
     streamed = ranged.withColumns({"nth": F.row_number().over(key.orderBy(F.col("last").desc())), "docs": F.sum("n").over(key)})

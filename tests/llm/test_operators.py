@@ -136,6 +136,13 @@ def test_line_dedup_edges(spark):
     assert rows[69] == f"{line}\n69" and all(rows[i] == str(i) for i in range(69))
 
 
+def test_line_dedup_counts_ids_once(spark):
+    line = "a line that is shared by rows of few ids, and long enough"
+    rows = lambda ids: {r.text for r in line_dedup.dedup_lines(docs(spark, [f"{line}\n{i}" for i in range(len(ids))], ids)).collect()}
+    assert rows([1, 1, 1, 2, 2, None, None]) == {f"{line}\n{i}" for i in range(7)}
+    assert rows([1, 1, 2, 3, 4, 5]) == {"0", "1", "2", "3", "4", f"{line}\n5"}
+
+
 # --- tokens and packing
 
 
