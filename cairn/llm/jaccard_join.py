@@ -338,6 +338,11 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_l
     ``class_id``: least id of the component. ``copy_of``: least id with an equal
     set. ``n_links``: how many different texts it is linked to.
     """
+    return _classified(docs, threshold, recall, count_links).drop("comp")
+
+
+def _classified(docs: DataFrame, threshold: float, recall: float, count_links: bool) -> DataFrame:
+    """As ``join``, with ``comp``, the key of the component; null for texts without words."""
     sets = materialise(token_sets(docs), "token-sets", "none")
     texts = sets.filter("n > 0").groupBy("key", "text_hash").agg(F.min("doc_id").alias("id"))
     classes = materialise(texts.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text_hash", F.struct(F.coalesce("id", F.lit(2**63 - 1)), "text_hash")).alias("rep_hash"), F.count(F.lit(1)).alias("texts")), "classes")
@@ -357,7 +362,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_l
         counts = comps.select("key", F.lit(1).cast("long").alias("links"))
     named = comps.join(classes.select("key", "rep"), "key")
     heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    found = materialise(named.join(heads, "comp").join(counts, "key").select("key", "class_id", "links"), "classes-found")
+    found = materialise(named.join(heads, "comp").join(counts, "key").select("key", "comp", "class_id", "links"), "classes-found")
     known = classes.select("key", F.col("rep").alias("copy_of"), "texts").join(found, "key", "left")
     rows = sets.select("doc_id", "text_hash", "key", "n").join(known, "key", "left")
     alone = F.col("n") == 0
@@ -366,18 +371,24 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_l
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "copy_of")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"),
+        F.when(~alone, F.coalesce("comp", "key")).alias("comp"),
     )
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """``docs`` with one document of each class, that with the least id (of rows that share it, one with the least text hash)."""
-    found = join(docs, threshold, recall, count_links=False)
-    own = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
-    kept = materialise(own.filter(F.col("doc_id").isNotNull()), "kept")
+    """``docs`` with one row of each component, that with the least id (null last) and of those the least text hash.
+
+    Texts without words are in none: each id keeps one of each, null ids all.
+    """
+    found = _classified(docs, threshold, recall, count_links=False)
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    own = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(first).alias("k")).select("k.doc_id", "k.text_hash", F.lit(False).alias("all"))
+    alone = found.filter("comp IS NULL").select("doc_id", "text_hash", F.col("doc_id").isNull().alias("all")).distinct()
+    kept = materialise(own.unionByName(alone), "kept").withColumnsRenamed({"doc_id": "__id", "text_hash": "__kept", "all": "__all"})
     numbered = docs.withColumn("__hash", F.xxhash64(text_of()))
-    kept = kept.withColumnsRenamed({"doc_id": "__id", "text_hash": "__kept"})
-    once = numbered.filter(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(numbered.filter(F.col("doc_id").isNull())).drop("__hash")
+    chosen = numbered.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept"))).drop("__id", "__kept")
+    once = chosen.filter(~F.col("__all")).dropDuplicates(["doc_id", "__hash"])
+    return once.unionByName(chosen.filter("__all")).drop("__hash", "__all")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

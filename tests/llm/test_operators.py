@@ -428,3 +428,14 @@ def test_blocks_count_like_one(spark, monkeypatch):
     whole = {r.doc_id: r.n_links for r in jaccard_join.join(docs(spark, texts)).collect()}
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
     assert {r.doc_id: r.n_links for r in jaccard_join.join(docs(spark, texts)).collect()} == whole
+
+
+def test_one_of_each_goes_by_text(spark):
+    near = [f"w{i}" for i in range(80)]
+    texts = ["one text of its own here", "another text that is unlike", " ".join(near), " ".join([*near[:79], "x"]), " ".join(near), "no id and no copy either", "", ""]
+    ids = [1, 1, None, None, 9, None, None, None]
+    kept = jaccard_join.one_of_each(docs(spark, texts, ids)).collect()
+    assert sorted(r.text for r in kept) == sorted([texts[0], texts[1], texts[4], texts[5], "", ""])
+    assert {r.doc_id for r in kept if r.text == texts[4]} == {9}
+    kept = jaccard_join.one_of_each(docs(spark, texts[2:4] * 2, [None] * 4)).collect()
+    assert len(kept) == 1
