@@ -48,17 +48,21 @@ class Alphabet:
 
     word: np.ndarray
     value: np.ndarray
+    unspaced: bool = False
 
 
-def alphabet(letters: str) -> Alphabet:
-    """``alnum``: ASCII letters and digits and all beyond ASCII, A-Z as a-z. ``black``: all but ASCII white space, likewise folded."""
+def alphabet(letters: str, unspaced: bool = False) -> Alphabet:
+    """``alnum``: ASCII letters and digits and all beyond ASCII, A-Z as a-z. ``black``: all but ASCII white space, likewise folded.
+
+    ``unspaced``: each character of a script without spaces is a word of its own.
+    """
     codes = np.arange(256)
     if letters == "alnum":
         word = (codes >= 128) | np.isin(codes, [*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
     else:
         word = ~np.isin(codes, [*b" \t\n\x0b\x0c\r"])
     folded = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    return Alphabet(word, np.where(word, BYTE_VALUE[folded], np.uint64(0)))
+    return Alphabet(word, np.where(word, BYTE_VALUE[folded], np.uint64(0)), unspaced)
 
 
 @dataclass
@@ -123,6 +127,12 @@ def _slice(first: int, data: np.ndarray, offsets: np.ndarray, letters: Alphabet)
     cut = offsets[(offsets > 0) & (offsets < n)]
     begins[cut] |= inside[cut]
     finishes[cut - 1] |= inside[cut - 1]
+    if letters.unspaced:
+        at, size = unspaced_characters(data)
+        begins[at] = finishes[at + size - 1] = True
+        finishes[at[at > 0] - 1] |= inside[at[at > 0] - 1]
+        after = (at + size)[at + size < n]
+        begins[after] |= inside[after]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     up, down = _Powers.to(n)
     mass = letters.value[data] * up
@@ -130,6 +140,22 @@ def _slice(first: int, data: np.ndarray, offsets: np.ndarray, letters: Alphabet)
     return Words(first, data, offsets, hashes, starts, ends, np.searchsorted(starts, offsets), mass)
 
 
+def unspaced_characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sizes in UTF-8 of characters of scripts written without spaces.
+
+    Han, kana, bopomofo, their punctuation and full-width forms; Thai, Lao,
+    Tibetan, Myanmar, Khmer.
+    """
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 2 < len(data)]
+    lead, second = data[at], data[at + 1]
+    between = lambda x, low, high: (x >= low) & (x <= high)
+    three = between(lead, 0xE3, 0xE9) | (lead == 0xEF) | ((lead == 0xE2) & (second >= 0xBA)) | ((lead == 0xE0) & between(second, 0xB8, 0xBF))
+    three |= (lead == 0xE1) & (between(second, 0x80, 0x81) | (second == 0x82) & (data[at + 2] < 0xA0) | between(second, 0x9E, 0x9F))
+    four = (lead == 0xF0) & between(second, 0xA0, 0xBF)
+    return at[three | four], np.where(four, 4, 3)[three | four]
+
+
 def hash_word(word: str, letters: Alphabet) -> int:
     """The hash that ``words`` gives to a word."""
     return int(next(words(pa.array([word]), letters)).hashes[0])

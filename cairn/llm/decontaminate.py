@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, then overlap.
 
 Items are the indexed documents, passages of training text the queries. Terms
-are runs of letters and digits, A-Z as a-z. A term's weight in an item is its
+are runs of letters and digits, A-Z as a-z; in scripts written without spaces
+each character is a term. A term's weight in an item is its
 BM25 impact, divided by the item's score for its own text, so one threshold
 holds for all items: an item's own passage scores 1.
 
@@ -26,8 +27,9 @@ with statistics over all items, each group scanning the documents once. It
 never depends on the number of documents.
 
 Defined cases: null texts and empty items match nothing; an item of fewer than
-``least_terms`` terms is too short to be told from chance and is left out; rows
-that share an id are judged each; other columns are ignored, but kept by
+``least_terms`` terms has no score (null) and is found where a document holds
+all its terms in a row, so that one of a single common term is found in many; an
+item without terms (only punctuation) matches nothing; rows that share an id are judged each; other columns are ignored, but kept by
 ``without_leaks``.
 """
 
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from cairn.llm._store import documents, small_batches, text_of
 from cairn.llm._words import Words, alphabet, mix, words
 
-ALNUM = alphabet("alnum")
+ALNUM = alphabet("alnum", unspaced=True)
 
 
 @dataclass
@@ -85,6 +87,13 @@ class Index:
     stride: int
 
 
+@dataclass
+class Exact:
+    """Items too short for a score: by number of terms, the sorted hashes of whole items and their ids."""
+
+    items: dict[int, tuple[np.ndarray, list[int]]]
+
+
 def pairs_of(terms: np.ndarray) -> np.ndarray:
     """Hashes of neighbouring terms."""
     return mix(terms[:-1] * np.uint64(3) + terms[1:], 5)
@@ -137,6 +146,40 @@ def build(items: list[tuple[int, str]], how: Search, documents_with: dict[int, i
     )
 
 
+def _whole(terms: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each ``n`` neighbouring terms."""
+    h = np.zeros(max(0, len(terms) - n + 1), np.uint64)
+    for k in range(n):
+        h = mix(h * np.uint64(31) + terms[k : k + len(h)], 7)
+    return h
+
+
+def build_exact(items: list[tuple[int, str]], how: Search) -> Exact | None:
+    """Of the items with at least one term but fewer than ``least_terms``."""
+    by_size: dict[int, list] = {}
+    for (item, _), own in zip(items, _term_lists([text or "" for _, text in items]), strict=True):
+        if 0 < len(own) < how.least_terms:
+            by_size.setdefault(len(own), []).append((int(_whole(own, len(own))[0]), item))
+    for own in by_size.values():
+        own.sort()
+    return Exact({n: (np.array([h for h, _ in own], np.uint64), [i for _, i in own]) for n, own in by_size.items()}) if by_size else None
+
+
+def holds(found: Words, index: Exact) -> Iterator[tuple]:
+    """``(text, item, no score, 1, 1)`` where a text holds all terms of an item in a row."""
+    out = set()
+    for n, (hashes, ids) in index.items.items():
+        here = _whole(found.hashes, n)
+        low, high = np.searchsorted(hashes, here), np.searchsorted(hashes, here, "right")
+        at = np.flatnonzero(high > low)
+        text = np.searchsorted(found.bounds, at, "right") - 1
+        inside = at + n <= found.bounds[text + 1]
+        for d, a, b in set(zip(text[inside].tolist(), low[at][inside].tolist(), high[at][inside].tolist(), strict=True)):
+            out.update((d, i) for i in range(a, b))
+        yield from ((d, ids[i], None, 1.0, 1.0) for d, i in sorted(out))
+        out.clear()
+
+
 def _expand(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row number and posting number of all postings of the terms ``which``."""
     size = starts[which + 1] - starts[which]
@@ -221,7 +264,7 @@ FOUND = "doc_id long, text_hash long, item_id long, score double, question_overl
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def indexes(items: DataFrame, how: Search) -> Iterator[Index]:
+def indexes(items: DataFrame, how: Search) -> Iterator[Index | Exact]:
     """Of groups of items in order of id; each group's texts are bounded."""
     known = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -244,6 +287,9 @@ def indexes(items: DataFrame, how: Search) -> Iterator[Index]:
             index = build(own, how, df, n, terms / max(1, n))
             if index is not None:
                 yield index
+        exact = build_exact(rows, how)
+        if exact is not None:
+            yield exact
 
 
 def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataFrame:
@@ -261,8 +307,12 @@ def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataF
             for batch in batches:
                 ids, hashes, out = batch.column(0), batch.column(1), []
                 for slice_ in words(batch.column(2), ALNUM):
-                    hits = retrieve(slice_, index, how)
-                    out += [(ids[slice_.first + d].as_py(), hashes[slice_.first + d].as_py(), index.item_ids[i], s, q, a) for d, i, s, q, a in (verify(slice_, index, how, *hits) if len(hits[0]) else [])]
+                    if isinstance(index, Exact):
+                        own = holds(slice_, index)
+                    else:
+                        hits = retrieve(slice_, index, how)
+                        own = [(d, index.item_ids[i], s, q, a) for d, i, s, q, a in (verify(slice_, index, how, *hits) if len(hits[0]) else [])]
+                    out += [(ids[slice_.first + d].as_py(), hashes[slice_.first + d].as_py(), i, s, q, a) for d, i, s, q, a in own]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
 

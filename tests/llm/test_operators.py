@@ -251,6 +251,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, rows).limit(0), items(spark, tests)).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    question = "水的沸点在标准大气压下是多少度？答案是一百摄氏度。"
+    tests = ["What is two plus two", "你好世界", question, "Yes", "", "..."]
+    rows = ["before WHAT is, two plus two? after", "what is two plus", "two", "他说你好世界吗", "你好，世界", f"前文甲乙丙{question}后文丁戊己", "yesterday", "what is two", "plus two", "on, yes.", "水的沸点"]
+    found = decontaminate.leaks(docs(spark, rows), items(spark, tests)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (3, 1), (5, 2), (9, 3)} and len(found) == 4
+    assert {r.item_id: r.score is None for r in found} == {0: True, 1: True, 2: False, 3: True}
+
+
 # --- WARC
 
 
