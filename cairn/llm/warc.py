@@ -1,10 +1,11 @@
 """WARC archives as a chunked record table, written and read back in a stream.
 
-A record is never one cell of a table here: payloads are held as rows of
-``(record_id, chunk, data)`` of at most ``chunk_bytes``, and whoever walks them
-carries the SHA-1 so far and the byte count, so the digest stands on a record's
-last row and no step allocates a whole record. Writing follows the chunks of a
-task's rows into one archive; reading streams each archive in fixed buffers.
+Reading holds payloads as rows of ``(record_id, chunk, data)`` of at most
+``chunk_bytes``; whoever walks them carries the SHA-1 so far and the byte count,
+so the digest stands on a record's last row. It streams each archive in fixed
+buffers. Writing does not do this yet: a page's whole payload is one cell of the
+exchange and of the Arrow batch, and is cut into chunks only for its archive, so
+memory follows the longest payload.
 
 Of records with equal payloads of ``least_bytes`` or more, that with the
 largest id is a ``response``, the others are ``revisit`` records that name it;
