@@ -42,7 +42,10 @@ def test_fusion(spark):
     rows = fusion.reciprocal_ranks(dense, sparse).orderBy("rank").collect()
     assert [r.key for r in rows] == ["doc1", "doc2", "doc3", "doc4"]
     assert rows[0].fused == pytest.approx(0.7 / 61 + 0.3 / 63)
-    assert fusion.weighted_scores(dense, sparse).orderBy("rank").first().key == "doc2"
+    one = spark.createDataFrame([(0, "doc1", 0.9, 1), (0, "doc2", 0.8, 2)], HITS)
+    other = spark.createDataFrame([(0, "doc2", 1.0, 1), (0, "doc3", 0.9, 2)], HITS)
+    scored = fusion.weighted_scores(one, other).orderBy("rank").collect()
+    assert scored[0].key == "doc2" and scored[0].fused == pytest.approx(0.7 * 0.8 / 0.9 + 0.3) and len(scored) == 3
     assert fusion.reciprocal_ranks(dense.limit(0), sparse).count() == 3 and fusion.reciprocal_ranks(dense.limit(0), sparse.limit(0)).count() == 0
     kept = {r.key: r.score for r in fusion.hybrid(dense, sparse, 4).collect()}
     assert kept["doc1"] == 0.9 and kept["doc4"] == pytest.approx(0.3 / 62)
