@@ -5,18 +5,23 @@ lower-cased. Keys of ``least_chars`` code points or more that at least
 ``least_docs`` documents hold lose their lines in all of them but the one with
 the largest id.
 
-Only 128-bit hashes leave a document. Each row gives a key once. Distinct ids of
-a key are counted by key and one of ``salts`` groups of documents: rows are
-dealt by key and id, so that a line that a third of all documents hold is spread
-over all tasks, and each task's counts are added up. The counts are then range-partitioned by
-hash with a secondary sort by document, and one pass streams each key's first
-occurrence (its last document) and its number of documents. What returns to a
-document is a bitmap of lines to drop, in 64-bit words of which only those with
-a bit set exist; texts are never exchanged for the search.
+Only 128-bit hashes leave a document. A row for each line, ``(hash, document,
+position)``, is range-partitioned by hash with a secondary sort by document,
+last first, and position. One pass over a partition streams each key's
+documents: the first occurrence is in the keeper, and the verdict on every
+later one comes from the stream itself. What returns to a document is a bitmap
+of lines to drop, in 64-bit words of which only those with a bit set exist;
+texts are never exchanged for the search.
+
+A key that a third of all lines have is one group of that stream, so hot keys
+(a frequent-items sketch finds those with over a ten-thousandth of all lines)
+leave it: their distinct documents and keepers are aggregated with partial sums
+in every task, and the at most 10,000 verdicts are broadcast to the lines.
 
 Defined cases: a null or empty text is one empty line; a null id is held as the
 lowest; rows that share an id count as one document (its lines are then judged
-row by row); other columns are carried along.
+row by row, equal rows alike); an empty table stays empty; other columns are
+carried along, whatever their names, but for ``n_lines`` and ``n_dropped``.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._store import documents, text_of
+from cairn.llm._store import HOT_KEYS, documents, fresh_names, hot_limit, materialise, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,44 +46,54 @@ def _hashed(text: Column, least_chars: int) -> Column:
     return F.array_compact(at)
 
 
-def recurring_keys(lines: DataFrame, least_docs: int, salts: int = 64) -> DataFrame:
-    """``a, b, keeper`` of the keys to thin, from ``lines(id, own array<struct<a, b, at>>)``."""
-    once = lines.select("id", F.explode(F.array_distinct(F.transform("own", lambda x: F.struct(x.a.alias("a"), x.b.alias("b"))))).alias("k"))
-    part = once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.pmod("id", F.lit(salts)).alias("salt")).agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
-    ranged = part.repartitionByRange("a", "b").sortWithinPartitions("a", "b", F.col("last").desc())
+def hot_keys(lines: DataFrame) -> DataFrame:
+    """``a`` of the keys with over a ten-thousandth of all lines; the sketch's errors only move a key between two ways to one result."""
+    each = lines.select(F.explode("own.a").alias("a"))
+    found, rows = each.agg(F.expr(f"approx_top_k(a, {HOT_KEYS}, {10 * HOT_KEYS})"), F.count(F.lit(1))).first()
+    return lines.sparkSession.createDataFrame([(r["item"],) for r in found or [] if r["count"] > hot_limit(rows)], "a long")
+
+
+def streamed(lines: DataFrame, least_docs: int) -> DataFrame:
+    """``id, row, at`` of lines to drop, from the range-partitioned stream of ``lines(id, row, a, b, at)``."""
+    ranged = lines.repartitionByRange("a", "b").sortWithinPartitions("a", "b", F.col("id").desc(), "at")
     key = Window.partitionBy("a", "b")
-    streamed = ranged.withColumns({"nth": F.row_number().over(key.orderBy(F.col("last").desc())), "docs": F.sum("n").over(key)})
-    return streamed.filter((F.col("nth") == 1) & (F.col("docs") >= least_docs)).select("a", "b", F.col("last").alias("keeper"))
+    by_doc = key.orderBy(F.col("id").desc())
+    walked = ranged.withColumns({"nth": F.dense_rank().over(by_doc), "keeper": F.first("id").over(by_doc)})
+    judged = walked.withColumn("docs", F.max("nth").over(key))
+    return judged.filter((F.col("docs") >= least_docs) & (F.col("id") < F.col("keeper"))).select("id", "row", "at")
 
 
 def drop_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """``id, words array<struct<word, bits>>, n_dropped`` for each document that loses lines.
+    """``id, row, words array<struct<word, bits>>, n_dropped`` for each document that loses lines; ``row`` tells rows of one id apart by text.
 
     Bit ``i % 64`` of word ``i / 64`` is set where line ``i`` goes.
     """
     lines = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), text_of().alias("text")).select("id", F.xxhash64("text").alias("row"), _hashed(F.col("text"), least_chars).alias("own"))
-    keys = recurring_keys(lines, least_docs)
+    lines = materialise(lines.filter(F.size("own") > 0), "line-hashes")
     each = lines.select("id", "row", F.explode("own").alias("k")).select("id", "row", F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.col("k.at").alias("at"))
-    gone = each.join(keys, ["a", "b"]).filter(F.col("id") < F.col("keeper"))
+    hot = F.broadcast(hot_keys(lines))
+    gone = streamed(each.join(hot, "a", "left_anti"), least_docs)
+    crowded = each.join(hot, "a", "left_semi")
+    verdicts = crowded.groupBy("a", "b").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keeper")).filter(F.col("docs") >= least_docs)
+    gone = gone.unionByName(crowded.join(F.broadcast(verdicts), ["a", "b"]).filter(F.col("id") < F.col("keeper")).select("id", "row", "at"))
     words = gone.groupBy("id", "row", (F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("bits"))
     return words.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """``docs`` with ``text`` thinned, and ``n_lines`` (before) and ``n_dropped``."""
-    own = docs.drop("n_lines", "n_dropped").withColumns({"__id": F.coalesce("doc_id", F.lit(-(2**63))), "__row": F.xxhash64(text_of())})
-    maps = drop_bitmaps(docs, least_chars, least_docs).withColumnsRenamed({"id": "__id", "row": "__row", "words": "__words", "n_dropped": "__gone"})
-    both = own.join(maps.hint("shuffle_hash"), ["__id", "__row"], "left")
-    lines = F.split(text_of(), "\n", -1)
-    bits = F.map_from_entries("__words")
-    dense = F.transform(F.sequence(F.lit(0), F.element_at("__words", -1)["word"]), lambda w: F.coalesce(F.try_element_at(bits, w), F.lit(0).cast("long")))
-    marked = both.withColumns({"__lines": lines, "__dense": F.when(F.col("__words").isNotNull(), dense)})
-    word = lambda i: F.coalesce(F.try_element_at(F.col("__dense"), (i / 64).cast("int") + 1), F.lit(0).cast("long"))
-    kept = F.filter("__lines", lambda x, i: F.call_function("getbit", word(i), i % 64) == 0)
-    return marked.withColumns({
-        "text": F.when(F.col("__words").isNull(), text_of()).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce("__gone", F.lit(0).cast("long")),
-    }).drop("__id", "__row", "__words", "__gone", "__lines", "__dense")
+    carried = docs.drop("n_lines", "n_dropped")
+    id_, row, words, gone, lines, dense = fresh_names(docs, "id", "row", "words", "gone", "lines", "dense")
+    own = carried.withColumns({id_: F.coalesce("doc_id", F.lit(-(2**63))), row: F.xxhash64(text_of())})
+    maps = drop_bitmaps(docs, least_chars, least_docs).select(F.col("id").alias(id_), F.col("row").alias(row), F.col("words").alias(words), F.col("n_dropped").alias(gone))
+    both = own.join(maps.hint("shuffle_hash"), [id_, row], "left")
+    bits = F.map_from_entries(words)
+    every_word = F.transform(F.sequence(F.lit(0), F.element_at(words, -1)["word"]), lambda w: F.coalesce(F.try_element_at(bits, w), F.lit(0).cast("long")))
+    marked = both.withColumns({lines: F.split(text_of(), "\n", -1), dense: F.when(F.col(words).isNotNull(), every_word)})
+    word = lambda i: F.coalesce(F.try_element_at(F.col(dense), (i / 64).cast("int") + 1), F.lit(0).cast("long"))
+    kept = F.filter(lines, lambda x, i: F.call_function("getbit", word(i), i % 64) == 0)
+    thinned = {"text": F.when(F.col(words).isNull(), text_of()).otherwise(F.array_join(kept, "\n")), "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(gone, F.lit(0).cast("long"))}
+    return marked.withColumns(thinned).drop(id_, row, words, gone, lines, dense)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

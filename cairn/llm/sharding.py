@@ -7,11 +7,15 @@ boundaries for every open splitter; a splitter closes once the bytes below it
 are within tolerance of its share, or no key is left between its brackets.
 Only then do the documents move, once, each to its shard.
 
+A shard of more than ``part_bytes`` has inner splitters, found in the same
+rounds (at most ``most_parts`` of them all): its parts are sorted by a task
+each, and a part's slots begin behind those of the parts before it.
+
 Law ``bytes``: a document's size is its UTF-8 bytes plus one.
 
 Defined cases: a null text is empty; a null id sorts lowest; rows equal in id
 and text stay together; an empty table gives an empty result; other columns
-are carried along, but for those named like an output.
+are carried along, whatever their names, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._store import documents, materialise, text_of
+from cairn.llm._store import documents, fresh_names, materialise, text_of
 
 LOW = -(2**63)
 SPAN = 2**64
@@ -36,12 +40,14 @@ def _key(number: int) -> Key:
     return number // SPAN + LOW, number % SPAN + LOW
 
 
-def _place(bounds: list[Key]) -> Column:
+def _place(bounds: list[Key], key_hash: str = "key_hash", key_id: str = "key_id") -> Column:
     """How many of the sorted bounds lie below the row's key: two short scans instead of a long one."""
+    if not bounds:
+        return F.lit(0)
     step = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     array = lambda keys: "array(" + ",".join(f"named_struct('h', {_long(h)}, 'i', {_long(i)})" for h, i in keys) + ")"
-    below = lambda keys: f"size(filter({keys}, b -> b < named_struct('h', key_hash, 'i', key_id)))"
+    below = lambda keys: f"size(filter({keys}, b -> b < named_struct('h', {key_hash}, 'i', {key_id})))"
     coarse = below(array([g[-1] for g in groups]))
     fine = below(f"try_element_at(array({','.join(map(array, groups))}), {coarse} + 1)")
     return F.expr(f"least({coarse} * {step}, {len(bounds)}) + if({coarse} < {len(groups)}, {fine}, 0)")
@@ -90,9 +96,9 @@ class Bracket:
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float = 0.0005) -> list[Key]:
-    """Upper keys of all shards but the last, for ``keys(key_hash, key_id, size)``.
+    """Upper keys of all parts but the last, for ``keys(key_hash, key_id, size)``.
 
-    ``tolerance`` is in shares of an even shard. What the driver holds is four
+    ``tolerance`` is in shares of an even part. What the driver holds is four
     probes for each splitter, whatever the input.
     """
     pair = F.struct("key_hash", "key_id")
@@ -123,17 +129,22 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.0005) -> list[K
     return [_key(b.found) for b in brackets]
 
 
-def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005) -> DataFrame:
-    """``docs`` with ``size, law, shard, slot``; each shard is one sorted partition, ready to be written."""
+def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, part_bytes: int = 64 << 20, most_parts: int = 1024) -> DataFrame:
+    """``docs`` with ``size, law, shard, slot``; each partition is sorted, and those of a shard follow one another."""
     text = text_of()
-    keyed = docs.drop("size", "law", "shard", "slot", "key_hash", "key_id").withColumns(
-        {"key_hash": F.xxhash64(text), "key_id": F.coalesce("doc_id", F.lit(LOW)), "size": F.octet_length(text).cast("long") + 1}
-    )
-    cuts = splitters(materialise(keyed.select("key_hash", "key_id", "size"), "shard-keys"), shards, tolerance)
-    place = _place(cuts).cast("int") if cuts else F.lit(0)
-    dealt = keyed.withColumn("shard", place).repartitionById(shards, F.col("shard"))
-    order = Window.partitionBy("shard").orderBy("key_hash", "key_id")
-    return dealt.withColumns({"slot": F.row_number().over(order).cast("long") - 1, "law": F.lit("bytes")}).drop("key_hash", "key_id")
+    carried = docs.drop("size", "law", "shard", "slot")
+    key_hash, key_id, part = fresh_names(docs, "key_hash", "key_id", "part")
+    keyed = carried.withColumns({key_hash: F.xxhash64(text), key_id: F.coalesce("doc_id", F.lit(LOW)), "size": F.octet_length(text).cast("long") + 1})
+    keys = materialise(keyed.select(F.col(key_hash).alias("key_hash"), F.col(key_id).alias("key_id"), "size"), "shard-keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    inner = max(1, min(most_parts // shards, -(-total // (shards * part_bytes))))
+    cuts = splitters(keys, shards * inner, tolerance)
+    held = {r["part"]: r["n"] for r in keys.groupBy(_place(cuts).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
+    before = [sum(held.get(q, 0) for q in range(p - p % inner, p)) for p in range(shards * inner)]
+    dealt = keyed.withColumn(part, _place(cuts, f"`{key_hash}`", f"`{key_id}`").cast("int")).repartitionById(shards * inner, F.col(part))
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(key_hash, key_id)).cast("long") - 1
+    base = F.element_at(F.array(*map(F.lit, before)), F.col(part) + 1)
+    return dealt.withColumns({"slot": nth + base, "shard": (F.col(part) / inner).cast("int"), "law": F.lit("bytes")}).drop(key_hash, key_id, part)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
