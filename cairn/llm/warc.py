@@ -1,17 +1,17 @@
-"""WARC archives as a chunked record table, written and read back in a stream.
+"""WARC archives through a chunked record table, written and read back in a stream.
 
-Reading holds payloads as rows of ``(record_id, chunk, data)`` of at most
-``chunk_bytes``; whoever walks them carries the SHA-1 so far and the byte count,
-so the digest stands on a record's last row. It streams each archive in fixed
-buffers. Writing does not do this yet: a page's whole payload is one cell of the
-exchange and of the Arrow batch, and is cut into chunks only for its archive, so
-memory follows the longest payload.
+A payload leaves the scan as rows ``(record, chunk, data)`` of at most
+``chunk_bytes``; from there on no row, exchange or Arrow batch holds a whole
+one. One walk over a record's rows carries the SHA-1 and the byte count so far,
+so its digest stands on its last row. Archives are written from chunk rows
+sorted by record and number, and read back as rows of the same shape; both
+stream in fixed buffers.
 
 Of records with equal payloads of ``least_bytes`` or more, that with the
 largest id is a ``response``, the others are ``revisit`` records that name it;
-smaller ones are all responses. Equality is by SHA-1 and length; the search for
-the largest id exchanges one partial row for each digest and task, so a payload
-that a third of all pages share costs no more than any other.
+smaller ones are all responses. Equality is by SHA-1. The largest id comes from
+partial maxima by digest, and digests that very many pages share get it by
+broadcast, so their rows are not gathered.
 
 Archives are written under ``spark.checkpoint.dir``, by attempt, and only the
 manifest that the finished tasks return names them: what lost or doubled tasks
@@ -20,8 +20,9 @@ leave behind is never read.
 Defined cases: null html is an empty payload; a null url is ``urn:page:<id>``;
 control characters and spaces in a url are percent-encoded; a null page_id gets
 a record, is never referred to while an id exists, and returns null; rows that
-share an id and a payload of ``least_bytes`` are each the response; other
-columns are ignored.
+share an id and a payload of ``least_bytes`` are each the response; every record
+has a ``WARC-Record-ID`` of its own, of the id and a number; an empty table gives
+an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._store import fresh_path, materialise, small_batches
+from cairn.llm._store import fresh_path, materialise, small_batches, spread_join
 
 CHUNK = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
@@ -50,23 +51,53 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """``page_id, row, payload_digest, payload_bytes, record_type, refers_to`` of each page; no payloads."""
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = materialise(pages.select("page_id", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes")), "warc-digests")
+CHUNKED = "record long, page_id long, url string, chunk int, data binary, payload_bytes long, payload_digest string, last boolean"
+CHUNKED_ARROW = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("last", pa.bool_())])
+
+
+def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
+    """The payloads as rows of chunks; a record's last row has its digest and number of bytes."""
+    small_batches(pages.sparkSession, 64)
+    rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("html") / chunk_bytes).cast("int") - 1))
+    cut = rows.select("*", F.explode(numbers).alias("chunk")).select("record", "page_id", "url", "chunk", F.expr(f"substring(html, chunk * {chunk_bytes} + 1, {chunk_bytes})").alias("data"), ((F.col("chunk") + 1) * chunk_bytes >= F.octet_length("html")).alias("last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, seen = hashlib.sha1(), 0
+        for batch in batches:
+            sizes, digests = [], []
+            for data, last in zip(batch.column("data"), batch.column("last").to_pylist(), strict=True):
+                view = data.as_buffer()
+                running.update(view)
+                seen += len(view)
+                sizes.append(seen)
+                digests.append(running.hexdigest() if last else None)
+                if last:
+                    running, seen = hashlib.sha1(), 0
+            columns = {"payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(digests, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, batch.column(f.name) if f.name in batch.schema.names else None) for f in CHUNKED_ARROW], schema=CHUNKED_ARROW)
+
+    return materialise(cut.mapInArrow(run, CHUNKED), "warc-chunks")
+
+
+def plan_records(chunks: DataFrame, least_bytes: int = 1000) -> DataFrame:
+    """``record, payload_digest, payload_bytes, record_type, refers_to struct<page_id, record>`` of each record of ``chunk_table``; no payloads."""
+    rows = chunks.filter("last").select("record", "page_id", "payload_digest", "payload_bytes")
+    own = F.struct("page_id", "record")
     large = rows.filter(F.col("payload_bytes") >= least_bytes)
-    winners = large.groupBy("payload_digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    both = rows.join(winners, "payload_digest", "left")
-    revisit = (F.col("payload_bytes") >= least_bytes) & F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return both.select("page_id", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
+    winners = materialise(large.groupBy("payload_digest").agg(F.max(own).alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-winners")
+    small = rows.filter(F.col("payload_bytes") < least_bytes).withColumn("winner", F.lit(None).cast("struct<page_id: bigint, record: bigint>"))
+    both = spread_join(large, winners, "payload_digest", "n", "left").unionByName(small)
+    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner.page_id"))
+    return both.select("record", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{os.path.abspath(uri)}")
 
 
-def record_name(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_name(page_id: int | None, record: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{record}>"
 
 
 def target(url: str | None, page_id: int | None) -> str:
@@ -75,39 +106,32 @@ def target(url: str | None, page_id: int | None) -> str:
     return re.sub(r"[\x00-\x20\x7f-\x9f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
-def header(page_id: int | None, url: str | None, kind: str, digest: str, size: int, refers_to: int | None) -> bytes:
+def header(record: int, page_id: int | None, url: str | None, kind: str, digest: str, size: int, refers_to: dict | None) -> bytes:
     """The record's header and, for a response, that of the HTTP message, up to the payload."""
     http = HTTP % size
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target(url, page_id)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_name(page_id, record)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target(url, page_id)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"WARC-Payload-Length: {size}",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_name(refers_to)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_name(**refers_to)}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (size if kind == 'response' else 0)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
-def chunks(payload: memoryview | bytes, size: int = CHUNK) -> Iterator[memoryview]:
-    view = memoryview(payload)
-    for at in range(0, len(view), size):
-        yield view[at : at + size]
-
-
-def write_archives(pages: DataFrame, records: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Writes one record for each page; the manifest ``path, records, bytes`` of the archives.
+def write_archives(chunks: DataFrame, records: DataFrame) -> DataFrame:
+    """Writes one record for each of ``records``; the manifest ``path, records, bytes`` of the archives.
 
-    Payloads are exchanged once, with their plans; each partition of that
+    Chunk rows are exchanged once, beside their plans; each partition of that
     exchange is an archive, gzipped record by record.
     """
-    spark = pages.sparkSession
+    spark = chunks.sparkSession
     small_batches(spark, 64)
-    payload = F.coalesce("html", F.lit(""))
-    own = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("payload_digest"))
-    # each distinct (id, digest) has one plan; pages that repeat it share that plan
-    plans = records.dropDuplicates(["page_id", "payload_digest"]).withColumnsRenamed({"page_id": "p_id", "payload_digest": "p_digest"})
-    joined = own.join(plans.hint("shuffle_hash"), own["page_id"].eqNullSafe(plans["p_id"]) & (own["payload_digest"] == plans["p_digest"]))
-    rows = joined.select("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.col("html").cast("binary")).alias("data"))
+    plans = records.select("record", "record_type", "refers_to", F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"))
+    rows = chunks.select("record", "page_id", "url", "chunk", "data", "last").join(plans.hint("shuffle_hash"), "record")
+    # a revisit leaves without its payload
+    rows = rows.filter((F.col("record_type") == "response") | F.col("last")).withColumn("data", F.when(F.col("record_type") == "response", F.col("data")))
+    sorted_ = rows.sortWithinPartitions("record", "chunk").select("record", "page_id", "url", "record_type", "digest", "bytes", "refers_to", "last", "data")
     folder = fresh_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,22 +139,23 @@ def write_archives(pages: DataFrame, records: DataFrame, chunk_bytes: int = CHUN
         fs, root = _file_system(folder)
         fs.create_dir(root, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        n = 0
+        n, member, at = 0, None, None
         with fs.open_output_stream(f"{root}/{name}") as out:
             for batch in batches:
-                ids, urls, digests, sizes, kinds, refers = (batch.column(i).to_pylist() for i in range(6))
-                for i in range(batch.num_rows):
-                    member = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    out.write(member.compress(header(ids[i], urls[i], kinds[i], digests[i], sizes[i], refers[i])))
-                    if batch.column(6)[i].is_valid:
-                        for part in chunks(memoryview(batch.column(6)[i].as_buffer()), chunk_bytes):
-                            out.write(member.compress(part))
-                    out.write(member.compress(b"\r\n\r\n") + member.flush())
-                    n += 1
+                fields = list(zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True))
+                for (record, *rest, last), data in zip(fields, batch.column(8), strict=True):
+                    if record != at:
+                        at, member = record, zlib.compressobj(6, zlib.DEFLATED, 31)
+                        out.write(member.compress(header(record, *rest)))
+                    if data.is_valid:
+                        out.write(member.compress(data.as_buffer()))
+                    if last:
+                        out.write(member.compress(b"\r\n\r\n") + member.flush())
+                        n += 1
             size = out.tell()
         yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": n, "bytes": size}], pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return materialise(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialise(sorted_.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def _lines(stream: BinaryIO) -> Iterator[bytes]:
@@ -206,9 +231,10 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK, data: bool = Tr
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    manifest = write_archives(pages, plan_records(pages))
+    chunks = chunk_table(pages)
+    manifest = write_archives(chunks, plan_records(chunks))
     ends = read_archives(manifest, data=False).filter("last")
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+):", 1).try_cast("long")
     return ends.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 

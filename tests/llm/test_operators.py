@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
+from cairn.llm import _store, decontaminate, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
 from cairn.llm._store import materialise
 from cairn.llm._tokens import Encoder
 
@@ -267,25 +267,45 @@ def test_warc(spark):
     big = "<p>é" + "payload " * 200
     rows = [(1, "http://a/b c\r\nX: y", big), (2, None, big), (5, "http://x", big), (3, "u", "small"), (4, "u", "small"), (6, "u", None), (None, "u", big + "z"), (9, "u", "\r\n\r\nWARC/1.1\r\n" * 100 + "x" * 300_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
-    manifest = warc.write_archives(pages, warc.plan_records(pages), chunk_bytes=1 << 12)
+    held = warc.chunk_table(pages, 1 << 12)
+    assert max(len(r.data) for r in held.collect()) <= 1 << 12
+    manifest = warc.write_archives(held, warc.plan_records(held))
     table = warc.read_archives(manifest, 1 << 12).collect()
     by = collections.defaultdict(list)
+    number = lambda name: int(name.split(":")[2] or -1)
     for r in table:
-        by[r.record_id].append(r)
+        by[number(r.record_id)].append(r)
     for page_id, _, html in rows:
-        own = sorted(by[warc.record_name(page_id)], key=lambda r: r.chunk)
+        own = sorted(by[-1 if page_id is None else page_id], key=lambda r: r.chunk)
         raw = (html or "").encode()
         assert own[-1].last and own[-1].payload_bytes == len(raw) and own[-1].payload_digest == hashlib.sha1(raw).hexdigest()
         assert own[0].record_type == ("revisit" if page_id in (1, 2) else "response")
         if own[0].record_type == "response":
             assert b"".join(r.data for r in own) == raw and max(len(r.data) for r in own) <= 1 << 12
         else:
-            assert own[0].refers_to == warc.record_name(5)
-    assert by["<urn:page:1>"][0].target == "http://a/b%20c%0D%0AX:%20y" and by["<urn:page:2>"][0].target == "urn:page:2"
-    empty = pages.limit(0)
+            assert own[0].refers_to == by[5][0].record_id
+    assert by[1][0].target == "http://a/b%20c%0D%0AX:%20y" and by[2][0].target == "urn:page:2"
+    empty = warc.chunk_table(pages.limit(0))
     assert warc.read_archives(warc.write_archives(empty, warc.plan_records(empty))).count() == 0
 
 
+def archived(spark, rows, least=1000):
+    held = warc.chunk_table(spark.createDataFrame(rows, "page_id long, url string, html string"), 256)
+    return [r for r in warc.read_archives(warc.write_archives(held, warc.plan_records(held, least)), 256).collect() if r.last]
+
+
+def test_warc_of_repeated_and_missing_ids(spark, monkeypatch):
+    big = "shared payload " * 100
+    rows = [(1, "u", big), (1, "u", big), (1, "u", "other " * 300), (None, "u", big), (None, "u", big), (None, None, None), (1, "u", "")]
+    for hot in (1_000, 1):
+        monkeypatch.setattr(_store, "HOT_ROWS", hot)
+        ends = archived(spark, rows)
+        assert len({r.record_id for r in ends}) == len(rows) == len(ends)
+        assert collections.Counter((r.record_type, r.refers_to and r.refers_to.split(":")[2], r.payload_bytes) for r in ends) == collections.Counter(
+            [("response", None, 1500), ("response", None, 1500), ("response", None, 1800), ("revisit", "1", 1500), ("revisit", "1", 1500), ("response", None, 0), ("response", None, 0)]
+        )
+
+
 # --- secrets
 
 
