@@ -13,6 +13,7 @@ from cairn.functions.python import ship
 
 #: Keys with more than this share of all rows, and more than ``HOT_ROWS``, are hot: there are at most ``HOT_KEYS`` of them.
 HOT_KEYS, HOT_ROWS = 10_000, 1_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +34,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write once, read back: later readers survive lost executors and repeat no work."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once, read back: later readers survive lost executors and repeat no work.
+
+    The write's own shuffle files go when it is done.
+    """
+    spark = df.sparkSession
+    path, held = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:

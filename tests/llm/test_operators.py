@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import _store, decontaminate, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
-from cairn.llm._store import materialise
 from cairn.llm._tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, rank int, own string, key string, n int"
@@ -340,23 +339,43 @@ def test_long_weak_parts_are_linked(spark):
 # --- training order
 
 
+def shards(spark, rows, **how):
+    manifest, held = training_order.write_shards(training_order.encoded(rows), 64, **how)
+    read = {slot: own.tolist() for r in manifest.collect() for slot, own in training_order.read_shard(r.path)}
+    return manifest, held, read
+
+
 def test_training_order(spark, corpus):
-    table = materialise(training_order.sequences(docs(spark, corpus).repartition(3), 64), "sequences")
-    manifest, slots = training_order.write_shards(table, 64, shard_rows=50, seed=5, waves=3)
-    encoder = Encoder(packing.tokenizer_path())
-    want = collections.Counter(i for t in corpus for i in [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
-    read, ids = [], collections.Counter()
-    for r in manifest.collect():
-        for slot, own in training_order.read_shard(r.path):
-            read.append(slot)
-            ids.update(own.tolist())
-    assert sorted(read) == list(range(table.count())) and ids == want
-    assert {r.slot: r.number for r in slots.collect()} == {int(s): i for i, s in enumerate(training_order.permuted(np.arange(len(read)), len(read), 5))}
+    """Against one long stream, cut and permuted by hand; the same for any partitioning."""
+    ids = [(7 * i) % len(corpus) for i in range(len(corpus))]
+    manifest, held, read = shards(spark, docs(spark, corpus, ids).repartition(3), shard_rows=50, seed=5, waves=3)
+    tokenizer = Encoder(packing.tokenizer_path()).tokenizer
+    stream, owners = [], []
+    for i in sorted(ids):
+        own = [*tokenizer.encode(corpus[ids.index(i)] or "", add_special_tokens=False).ids, 2]
+        stream += own
+        owners += [i] * len(own)
+    count = -(-len(stream) // 64)
+    slots = training_order.permuted(np.arange(count), count, 5).tolist()
+    assert read == {s: stream[64 * n : 64 * n + 64] for n, s in enumerate(slots)}
+    got = collections.defaultdict(list)
+    for r in held.orderBy("slot", "from").collect():
+        got[r.slot].append(r.doc_id)
+    assert got == {s: list(dict.fromkeys(owners[64 * n : 64 * n + 64])) for n, s in enumerate(slots)}
     first = manifest.orderBy("shard").first()
     assert [s for s, _ in training_order.read_shard(first.path, 10, 5)] == [10, 11, 12, 13, 14]
-    assert training_order.read_shards(manifest).count() == len(read)
-    other = training_order.permuted(np.arange(len(read)), len(read), 6)
-    assert sorted(other) == list(range(len(read))) and (other != training_order.permuted(np.arange(len(read)), len(read), 5)).any()
+    assert training_order.read_shards(manifest).count() == count
+    raw = lambda m: [open(r.path, "rb").read() for r in m.orderBy("shard").collect()]
+    assert raw(shards(spark, docs(spark, corpus, ids).repartition(7, "text"), shard_rows=50, seed=5, waves=1)[0]) == raw(manifest)
+    other = training_order.permuted(np.arange(count), count, 6)
+    assert sorted(other) == list(range(count)) and other.tolist() != slots
+
+
+def test_training_order_edges(spark):
+    manifest, held, read = shards(spark, docs(spark, ["a"]).limit(0))
+    assert read == {} and held.count() == 0 and training_order.read_shards(manifest).count() == 0
+    _, _, read = shards(spark, docs(spark, ["same", "same", None, "", "x"], [1, 1, None, None, 0]))
+    assert len(read) == 1 and collections.Counter(read[0])[2] == 5
 
 
 def test_permutations():
