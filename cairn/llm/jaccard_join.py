@@ -16,20 +16,26 @@ Sets that stay together to the last level are much alike, and more levels
 would not part them. Nodes that share members are one dense group. In it every
 pair of different sets is compared, exactly, as products of incidence matrices
 of bounded blocks; of the links found only a spanning forest of each pair of
-blocks leaves. A group of many blocks is spread over tasks by pairs of blocks,
-and no pairs are ever listed.
+blocks leaves. A group's sets are exchanged once, to their blocks. A group of
+many blocks writes them under ``spark.checkpoint.dir``, and a task for each
+pair of blocks fetches its two: what is exchanged then is the pairs' numbers.
+So rows and exchanges are linear in the sets; comparing, and fetching by
+blocks, grows with the square of a group's different sets.
 
 Verified links make components, by propagating the least label with pointer
 jumping. Within each component all pairs are compared in the same way to count
-the links, so those that the walk missed inside a component count too. Work
-inside a group grows with the square of its different sets; rows do not.
+the links, so those that the walk missed inside a component count too.
+
+Nodes, labels and components that very many sets share reach their rows by
+broadcast (at most 10,000 of them), so no task gathers one.
 
 Equal sets are one class and are walked once. Texts without words are in no
 class but their own. A text of one to four words is one run of all of them.
 
 Defined cases: null text as empty; rows that share an id are judged each by
-their text; a null id keeps null and takes part by its text; other columns are
-carried along by ``one_of_each``.
+their text, equal rows are one; a null id keeps null and takes part by its text;
+an empty table gives no rows; other columns are carried along by
+``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,18 +46,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._store import documents, materialise, small_batches, text_of
+from cairn.llm._store import documents, fresh_names, fresh_path, materialise, small_batches, spread_join, text_of
 from cairn.llm._words import alphabet, mix, shingles, words
+from cairn.llm.warc import _file_system
 
 BLACK = alphabet("black")
 WIDTH = 5
 SMALL_NODE = 24
 DEPTH = 3
 BLOCK_SETS, BLOCK_BYTES = 2048, 6 << 20
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
+MOST_ROUNDS = 100
 
 
 def runs_for(recall: float) -> int:
@@ -169,19 +178,23 @@ def _pairs_of_nodes(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.mapInArrow(run, "a binary, b binary")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast while it is small by count; otherwise Spark exchanges both sides."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast while it is small by bytes (about 100 a row, 16 for each node); otherwise Spark exchanges both sides."""
+    size = F.lit(100) + (F.lit(16) * F.size("nodes") if "nodes" in df.columns else F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
-def _rep_sets(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of ``sets`` for each of the ``keys(key, ...)``."""
-    rows = keys.count()
-    joined = sets.filter("n > 0").select("key", "n", "sketch", "tokens", "doc_id", "text_hash").join(_bounded(keys, rows), "key")
-    return joined.filter((F.col("doc_id").eqNullSafe(F.col("rep"))) & (F.col("text_hash") == F.col("rep_hash"))).drop("doc_id", "text_hash", "rep", "rep_hash")
+def _rep_sets(sets: DataFrame, keys: DataFrame, repeats: bool) -> DataFrame:
+    """One row of ``sets`` for each of the written ``keys(key, rep, rep_hash, ...)``; ``repeats``: whether rows of equal id and text exist."""
+    own = sets.filter("n > 0").select("key", "n", "sketch", "tokens", "doc_id", "text_hash")
+    # the documents that stand for a set: each is one row, so no key gathers its copies
+    chosen = keys.withColumnsRenamed({"key": "of", "rep": "doc_id", "rep_hash": "text_hash"})
+    joined = own.join(_bounded(chosen), own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["text_hash"] == chosen["text_hash"]))
+    rows = joined.drop("doc_id", "text_hash", "of")
+    return rows.dropDuplicates(["key"]) if repeats else rows
 
 
-def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame | None]:
+def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: float, repeats: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Plausible pairs of different sets, met on some path; and for nodes that did not part, each member with one of its node."""
     runs = runs_for(recall)
     reps = classes.select("key", "rep", "rep_hash")
@@ -191,8 +204,8 @@ def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: fl
     for level in range(1, DEPTH + 1):
         # copies of a set make equal rows, which are merged before the exchange
         step = materialise(step.groupBy("node", "key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("run").alias("run")), f"paths-{level}")
-        sizes = step.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        met = materialise(step.join(sizes, "node"), f"met-{level}")
+        sizes = materialise(step.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("weight", F.col("size")), f"sizes-{level}")
+        met = materialise(spread_join(step, sizes, "node", "weight"), f"met-{level}")
         small = met.filter(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.collect_list(F.struct("key", "n", "sketch")).alias("members")).select("members")
         pairs = _pairs_of_nodes(small, threshold)
         found = pairs if found is None else found.unionByName(pairs)
@@ -200,11 +213,11 @@ def candidates(sets: DataFrame, classes: DataFrame, threshold: float, recall: fl
         if large.isEmpty():
             break
         if level == DEPTH:
-            first = large.groupBy("node").agg(F.min("key").alias("b"))
-            dense = materialise(large.join(first, "node").filter("key <> b").select(F.col("key").alias("a"), "b").distinct(), "dense")
+            first = materialise(large.groupBy("node").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("weight")), "firsts")
+            dense = materialise(spread_join(large, first, "node", "weight").filter("key <> b").select(F.col("key").alias("a"), "b").distinct(), "dense")
             break
         open_ = large.groupBy("key").agg(F.collect_list(F.struct("node", "run")).alias("nodes")).join(reps, "key")
-        step = walk(_rep_sets(sets, materialise(open_, f"open-{level}")), None, threshold)
+        step = walk(_rep_sets(sets, materialise(open_, f"open-{level}"), repeats), None, threshold)
     return materialise(found.distinct(), "candidates"), dense
 
 
@@ -228,16 +241,22 @@ def verified(pairs: DataFrame, needed: DataFrame, threshold: float) -> DataFrame
 
 def components(links: DataFrame) -> DataFrame:
     """``key, comp`` for the ends of ``links(a, b)``: least labels by propagation and pointer jumping."""
-    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialise(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
-    while True:
-        heard = edges.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("heard"))
-        step = labels.join(heard, "key").select("key", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        jump = labels.select(F.col("key").alias("comp"), F.col("comp").alias("further"))
-        moved = materialise(step.join(jump, "comp", "left").select("key", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        labels = moved.select("key", "comp")
+    edges = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = materialise(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("a"), F.min("b")).alias("comp"), F.count(F.lit(1)).alias("degree")), "labels")
+    for _ in range(MOST_ROUNDS):
+        told = labels.withColumnRenamed("key", "b")
+        heard = spread_join(edges, told, "b", "degree").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("heard"))
+        step = materialise(labels.join(heard, "key").select("key", "degree", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp")), "heard")
+        sizes = step.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+        jump = materialise(sizes.join(labels.select(F.col("key").alias("comp"), F.col("comp").alias("further")), "comp", "left"), "jumps")
+        moved = materialise(spread_join(step, jump, "comp", "n").select("key", "degree", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
+        labels = moved.drop("old")
         if moved.filter("old != comp").isEmpty():
-            return labels
+            return labels.drop("degree")
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+
+
+MEMBERS = pa.schema([("key", pa.binary()), ("texts", pa.int64()), ("tokens", pa.binary())])
 
 
 def compare_within(members: DataFrame, threshold: float) -> DataFrame:
@@ -246,34 +265,64 @@ def compare_within(members: DataFrame, threshold: float) -> DataFrame:
     Rows ``key, other, links``: with ``other`` null, how many texts of one other
     block the key is linked to; else a link of the pair of blocks' forest.
     """
+    spark = members.sparkSession
+    members = materialise(members, "members", "none")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("tokens")).alias("bytes"))
-    blocks = sizes.select("comp", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
-    faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    faced = faced.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "texts", "tokens")
-    sorted_ = faced.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    schema = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
+    blocks = materialise(sizes.select("comp", "m", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
+    dealt = spread_join(members, blocks, "comp", "m").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+    sorted_ = dealt.select("comp", "own", "blocks", "key", "texts", "tokens").repartition("comp", "own").sortWithinPartitions("comp", "own")
+    folder = fresh_path(spark, "blocks")
+    schema = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", pa.int64()), ("comp", pa.binary()), ("block", pa.int32()), ("path", pa.string())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block at a time: compared if it is its group's only one, else written."""
+        group, held = None, []
 
-    def made(group: tuple, held: list[tuple]) -> pa.RecordBatch:
-        out = _compared(group, held, threshold) if held else []
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+        def done() -> pa.RecordBatch:
+            if group[2] == 1:
+                rows = [(*r, None, None, None) for r in _compared(held, held, True, threshold)]
+            else:
+                fs, root = _file_system(folder)
+                fs.create_dir(root, recursive=True)
+                name = f"{group[0].hex()}-{group[1]}-{TaskContext.get().taskAttemptId()}.arrow"
+                table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), MEMBERS, strict=True)], schema=MEMBERS)
+                with fs.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_stream(out, MEMBERS) as writer:
+                    writer.write_table(table)
+                rows = [(None, None, None, group[0], group[1], f"{folder}/{name}")]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
         for batch in batches:
-            at = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
-            own, keys, texts = (batch.column(c).to_pylist() for c in ("own", "key", "texts"))
-            parts = []
-            for k in range(batch.num_rows):
-                if at[k] != group:
-                    parts.append(made(group, held))
-                    group, held = at[k], []
-                held.append((own[k], keys[k], texts[k], np.frombuffer(batch.column("tokens")[k].as_py(), "<u4")))
-            if parts:
-                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
-        yield made(group, held)
+            columns = [batch.column(c).to_pylist() for c in ("comp", "own", "blocks", "key", "texts", "tokens")]
+            for comp, own, blocks_, *member in zip(*columns, strict=True):
+                if (comp, own, blocks_) != group:
+                    if held:
+                        yield done()
+                    group, held = (comp, own, blocks_), []
+                held.append(tuple(member))
+        if held:
+            yield done()
+
+    met = materialise(sorted_.mapInArrow(gather, "key binary, other binary, links long, comp binary, block int, path string"), "block-links")
+    found = met.filter("comp IS NULL").select("key", "other", "links")
+    written = met.filter("comp IS NOT NULL").select("comp", "block", "path")
+    if written.isEmpty():
+        return found
+
+    def fetch(path: str) -> list[tuple]:
+        fs, name = _file_system(path)
+        with fs.open_input_stream(name) as file, pa.ipc.open_stream(file) as reader:
+            return list(zip(*(c.to_pylist() for c in reader.read_all().columns), strict=True))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first = fetch(one)
+                rows = _compared(first, first if one == other else fetch(other), one == other, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(3)], schema=pa.schema([schema.field(c) for c in range(3)]))
 
-    return sorted_.mapInArrow(run, "key binary, other binary, links long")
+    right = written.withColumnsRenamed({"block": "other_block", "path": "other_path"})
+    pairs = written.join(right, "comp").filter("block <= other_block").select("path", "other_path")  # a row for each pair of blocks
+    return found.unionByName(pairs.repartition("path", "other_path").mapInArrow(compare, "key binary, other binary, links long"))
 
 
 def _shared(one: list[np.ndarray], other: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -312,24 +361,21 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compared(group: tuple, held: list[tuple], threshold: float) -> list[tuple]:
-    """Rows ``(key, other, links)`` of a pair of blocks."""
-    _, i, j = group
-    first, second = [h for h in held if h[0] == i], [h for h in held if h[0] == j]
-    if not first or not second:
-        return []
-    shared = _shared([h[3] for h in first], [h[3] for h in second])
-    n1, n2 = np.array([len(h[3]) for h in first], np.float32)[:, None], np.array([len(h[3]) for h in second], np.float32)[None, :]
+def _compared(first: list[tuple], second: list[tuple], same: bool, threshold: float) -> list[tuple]:
+    """Rows ``(key, other, links)`` of a pair of blocks of ``(key, texts, tokens)``."""
+    one, two = ([np.frombuffer(h[2], "<u4") for h in block] for block in (first, second))
+    shared = _shared(one, two)
+    n1, n2 = np.array([len(x) for x in one], np.float32)[:, None], np.array([len(x) for x in two], np.float32)[None, :]
     linked = shared >= threshold * (n1 + n2 - shared) - 1e-3
-    if i == j:
+    if same:
         np.fill_diagonal(linked, False)
-    weigh = lambda matrix, other: (matrix.astype(np.float32) @ np.array([h[2] for h in other], np.float64)).astype(np.int64).tolist()
-    out = [(h[1], None, n) for h, n in zip(first, weigh(linked, second), strict=True)]
-    if i != j:
-        out += [(h[1], None, n) for h, n in zip(second, weigh(linked.T, first), strict=True)]
-    # a diagonal block's rows are its columns, so each set stands for itself on both sides
-    tied = linked | np.eye(len(first), dtype=bool) & linked.any(axis=1)[:, None] if i == j else linked
-    return out + [(first[r][1], second[c][1], None) for r, c in _forest(tied) if first[r][1] != second[c][1]]
+    weigh = lambda matrix, other: (matrix.astype(np.float32) @ np.array([h[1] for h in other], np.float64)).astype(np.int64).tolist()
+    out = [(h[0], None, n) for h, n in zip(first, weigh(linked, second), strict=True)]
+    if not same:
+        out += [(h[0], None, n) for h, n in zip(second, weigh(linked.T, first), strict=True)]
+    # a block's rows are its own columns, so there each set stands for itself on both sides
+    tied = linked | np.eye(len(first), dtype=bool) & linked.any(axis=1)[:, None] if same else linked
+    return out + [(first[r][0], second[c][0], None) for r, c in _forest(tied) if first[r][0] != second[c][0]]
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_links: bool = True) -> DataFrame:
@@ -344,12 +390,13 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, count_l
 def _classified(docs: DataFrame, threshold: float, recall: float, count_links: bool) -> DataFrame:
     """As ``join``, with ``comp``, the key of the component; null for texts without words."""
     sets = materialise(token_sets(docs), "token-sets", "none")
-    texts = sets.filter("n > 0").groupBy("key", "text_hash").agg(F.min("doc_id").alias("id"))
-    classes = materialise(texts.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text_hash", F.struct(F.coalesce("id", F.lit(2**63 - 1)), "text_hash")).alias("rep_hash"), F.count(F.lit(1)).alias("texts")), "classes")
-    pairs, dense = candidates(sets, classes, threshold, recall)
+    texts = sets.filter("n > 0").groupBy("key", "text_hash").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(texts.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text_hash", F.struct(F.coalesce("id", F.lit(2**63 - 1)), "text_hash")).alias("rep_hash"), F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("copies")), "classes")
+    repeats = not sets.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    pairs, dense = candidates(sets, classes, threshold, recall, repeats)
     met = pairs if dense is None else pairs.unionByName(dense)
     ends = met.select(F.col("a").alias("key")).unionByName(met.select(F.col("b").alias("key"))).distinct()
-    needed = materialise(_rep_sets(sets, materialise(ends.join(classes, "key"), "ends")), "needed-sets", "none")
+    needed = materialise(_rep_sets(sets, materialise(ends.join(classes.drop("copies"), "key"), "ends"), repeats), "needed-sets", "none")
     links = verified(pairs, needed, threshold)
     if dense is not None:
         found = compare_within(components(dense).join(needed, "key").select("comp", "key", "tokens", "texts"), threshold)
@@ -360,11 +407,11 @@ def _classified(docs: DataFrame, threshold: float, recall: float, count_links: b
         counts = compare_within(comps.join(needed, "key").select("comp", "key", "tokens", "texts"), threshold).filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     else:
         counts = comps.select("key", F.lit(1).cast("long").alias("links"))
-    named = comps.join(classes.select("key", "rep"), "key")
-    heads = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    found = materialise(named.join(heads, "comp").join(counts, "key").select("key", "comp", "class_id", "links"), "classes-found")
-    known = classes.select("key", F.col("rep").alias("copy_of"), "texts").join(found, "key", "left")
-    rows = sets.select("doc_id", "text_hash", "key", "n").join(known, "key", "left")
+    named = materialise(comps.join(classes.select("key", "rep"), "key").join(counts, "key"), "named")
+    heads = materialise(named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("m")), "heads")
+    found = materialise(spread_join(named, heads, "comp", "m").select("key", "comp", "class_id", "links"), "classes-found")
+    known = materialise(classes.select("key", F.col("rep").alias("copy_of"), "texts", "copies").join(found, "key", "left"), "known")
+    rows = spread_join(sets.select("doc_id", "text_hash", "key", "n"), known, "key", "copies", "left")
     alone = F.col("n") == 0
     return rows.select(
         "doc_id", "text_hash",
@@ -384,11 +431,12 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995)
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
     own = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(first).alias("k")).select("k.doc_id", "k.text_hash", F.lit(False).alias("all"))
     alone = found.filter("comp IS NULL").select("doc_id", "text_hash", F.col("doc_id").isNull().alias("all")).distinct()
-    kept = materialise(own.unionByName(alone), "kept").withColumnsRenamed({"doc_id": "__id", "text_hash": "__kept", "all": "__all"})
-    numbered = docs.withColumn("__hash", F.xxhash64(text_of()))
-    chosen = numbered.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept"))).drop("__id", "__kept")
-    once = chosen.filter(~F.col("__all")).dropDuplicates(["doc_id", "__hash"])
-    return once.unionByName(chosen.filter("__all")).drop("__hash", "__all")
+    id_, hash_, own_hash, every = fresh_names(docs, "id", "hash", "own_hash", "every")
+    kept = materialise(own.unionByName(alone), "kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("all").alias(every))
+    numbered = docs.withColumn(own_hash, F.xxhash64(text_of()))
+    chosen = numbered.join(kept, numbered["doc_id"].cast("long").eqNullSafe(kept[id_]) & (numbered[own_hash] == kept[hash_])).drop(id_, hash_)
+    once = chosen.filter(~F.col(every)).dropDuplicates(["doc_id", own_hash])
+    return once.unionByName(chosen.filter(every)).drop(own_hash, every)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
