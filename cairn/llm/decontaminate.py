@@ -21,16 +21,19 @@ A retrieved pair is verified on the whole document: an item's first part is its
 question and the rest its answer, and both must share enough pairs of
 neighbouring terms with the stretch of the document that scored.
 
-The index is built on the driver from at most ``group_bytes`` of items at a
-time and broadcast; a larger benchmark is worked through in groups of items,
-with statistics over all items, each group scanning the documents once. It
+Document frequencies of all items' terms are counted as a table. The indexes are
+built on the driver from at most ``group_bytes`` of items at a time, with the
+frequencies of those items' terms, and broadcast together, so a group scans the
+documents once; a larger benchmark is worked through in groups of items. That
 never depends on the number of documents.
 
 Defined cases: null texts and empty items match nothing; an item of fewer than
 ``least_terms`` terms has no score (null) and is found where a document holds
 all its terms in a row, so that one of a single common term is found in many; an
-item without terms (only punctuation) matches nothing; rows that share an id are judged each; other columns are ignored, but kept by
-``without_leaks``.
+item without terms (only punctuation) matches nothing; a null ``item_id`` or
+``doc_id`` is reported as null; rows that share an id are judged each, equal
+ones alike; without items or documents there are no rows; other columns are
+ignored, but kept by ``without_leaks``, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._store import documents, small_batches, text_of
+from cairn.llm._store import documents, fresh_names, materialise, small_batches, text_of
 from cairn.llm._words import Words, alphabet, mix, words
 
 ALNUM = alphabet("alnum", unspaced=True)
@@ -68,7 +71,7 @@ class Search:
 class Index:
     """Postings of a group of items, by term and, for the bounds, by term and block."""
 
-    item_ids: list[int]
+    item_ids: list[int | None]
     terms: np.ndarray
     greatest: np.ndarray
     essential: np.ndarray
@@ -161,7 +164,7 @@ def build_exact(items: list[tuple[int, str]], how: Search) -> Exact | None:
         if 0 < len(own) < how.least_terms:
             by_size.setdefault(len(own), []).append((int(_whole(own, len(own))[0]), item))
     for own in by_size.values():
-        own.sort()
+        own.sort(key=lambda x: x[0])
     return Exact({n: (np.array([h for h, _ in own], np.uint64), [i for _, i in own]) for n, own in by_size.items()}) if by_size else None
 
 
@@ -264,32 +267,39 @@ FOUND = "doc_id long, text_hash long, item_id long, score double, question_overl
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def indexes(items: DataFrame, how: Search) -> Iterator[Index | Exact]:
-    """Of groups of items in order of id; each group's texts are bounded."""
-    known = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+def item_terms(items: DataFrame, how: Search) -> DataFrame:
+    """``group, size, terms`` of items: their distinct terms, and how many terms they have in all."""
+    small_batches(items.sparkSession)
+    schema = pa.schema([("group", pa.int64()), ("size", pa.int64()), ("terms", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = _term_lists(batch.column(1).to_pylist())
+            own = [np.unique(x).view(np.int64).tolist() if len(x) >= how.least_terms else [] for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(own, pa.list_(pa.int64()))], schema=schema)
+
+    return items.select("group", "text").mapInArrow(run, "group long, size long, terms array<long>")
+
+
+def indexes(items: DataFrame, how: Search) -> Iterator[list[Index | Exact]]:
+    """For each group of items, whose texts are bounded, its indexes."""
+    known = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // how.group_bytes))
     numbered = known.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
-    df: dict[int, int] = {}
-    n = terms = 0
-    for g in range(groups):  # statistics over all items
-        for own in _term_lists([r["text"] for r in numbered.filter(F.col("group") == g).collect()]):
-            if len(own) >= how.least_terms:
-                n, terms = n + 1, terms + len(own)
-                for t in np.unique(own).tolist():
-                    df[t] = df.get(t, 0) + 1
+    terms = materialise(item_terms(numbered, how), "item-terms")
+    scored = F.col("size") >= how.least_terms
+    n, mean = terms.filter(scored).agg(F.count(F.lit(1)), F.avg("size")).first()
+    each = terms.filter(scored).select("group", F.explode("terms").alias("term"))
+    held_by = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     for g in range(groups):
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in numbered.filter(F.col("group") == g).collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in numbered.filter(F.col("group") == g).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        own = held_by.join(each.filter(F.col("group") == g).select("term").distinct(), "term", "left_semi").toArrow()
+        df = dict(zip(own.column("term").to_numpy().view(np.uint64).tolist(), own.column("n").to_pylist(), strict=True))
         classes: dict[int, list] = {}
-        for row, own in zip(rows, _term_lists([text for _, text in rows]), strict=True):
-            classes.setdefault(max(0, math.ceil(math.log(max(1, len(own)) / how.window, 4))), []).append(row)
-        for own in classes.values():
-            index = build(own, how, df, n, terms / max(1, n))
-            if index is not None:
-                yield index
-        exact = build_exact(rows, how)
-        if exact is not None:
-            yield exact
+        for row, found in zip(rows, _term_lists([text for _, text in rows]), strict=True):
+            classes.setdefault(max(0, math.ceil(math.log(max(1, len(found)) / how.window, 4))), []).append(row)
+        yield [x for x in (*(build(own, how, df, n, mean or 1.0) for own in classes.values()), build_exact(rows, how)) if x is not None]
 
 
 def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataFrame:
@@ -299,20 +309,20 @@ def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataF
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("text_hash"), "text")
     found = None
-    for index in indexes(items, how):
-        shared = spark.sparkContext.broadcast(index)
+    for own in indexes(items, how):
+        shared = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 ids, hashes, out = batch.column(0), batch.column(1), []
                 for slice_ in words(batch.column(2), ALNUM):
-                    if isinstance(index, Exact):
-                        own = holds(slice_, index)
-                    else:
-                        hits = retrieve(slice_, index, how)
-                        own = [(d, index.item_ids[i], s, q, a) for d, i, s, q, a in (verify(slice_, index, how, *hits) if len(hits[0]) else [])]
-                    out += [(ids[slice_.first + d].as_py(), hashes[slice_.first + d].as_py(), i, s, q, a) for d, i, s, q, a in own]
+                    for index in shared.value:
+                        if isinstance(index, Exact):
+                            met = holds(slice_, index)
+                        else:
+                            hits = retrieve(slice_, index, how)
+                            met = [(d, index.item_ids[i], s, q, a) for d, i, s, q, a in (verify(slice_, index, how, *hits) if len(hits[0]) else [])]
+                        out += [(ids[slice_.first + d].as_py(), hashes[slice_.first + d].as_py(), i, s, q, a) for d, i, s, q, a in met]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
 
@@ -323,8 +333,9 @@ def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataF
 
 def without_leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataFrame:
     """``docs`` without the rows that leak an item."""
-    hit = leaks(docs, items, how).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
+    id_, hash_ = fresh_names(docs, "id", "hash")
+    hit = leaks(docs, items, how).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit[id_]) & (F.xxhash64(text_of(docs["text"])) == hit[hash_]), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ complementary part on either side, so no pairs are formed.
 
 Spans are code points, end exclusive. Everything is Catalyst expressions.
 
-Defined cases: a null text is empty; rows repeated in id and text are reported
-each; other columns are ignored.
+Defined cases: a null text is empty; a null id is kept; rows repeated in id and
+text are reported each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,22 +38,25 @@ ROLES = {"assign": "secret", "access": "access", "hex": "secret", "weak_access":
 def spans(text: Column, pattern: str, kind: str, least: Column | None = None) -> Column:
     """``array<struct<start, kind, end>>`` of a pattern's leftmost matches, in order.
 
-    Starts follow from the lengths of the pieces between matches. ``least``
-    drops matches after matching, by a condition on the match's text.
+    Starts follow from the lengths of the pieces between matches, summed in two
+    levels (blocks of about the root of their number), so that a text of very
+    many matches is not copied once for each. ``least`` drops matches after
+    matching, by a condition on the match's text.
     """
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    number = KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    walked = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.when(least(x["m"]) if least else F.lit(True), F.array(F.struct((acc["at"] + F.length(x["p"])).alias("start"), F.lit(number).alias("kind"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end")))).otherwise(empty)).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(empty)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    both = F.transform(F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p")), lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("long"), (least(x["m"]) if least else F.lit(True)).alias("ok")))
+    width = F.ceil(F.sqrt(F.size(both))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(both) / width).cast("int") - 1), lambda b: F.slice(both, b * width + 1, width))
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x["gap"] + x["long"]))
+    bases = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def walked(block: Column, base: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["long"]).alias("at"), F.concat(acc["out"], F.when(x["ok"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + x["gap"] + x["long"]).alias("end")))).otherwise(none)).alias("out"))
+        return F.aggregate(block, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    placed = F.flatten(F.transform(blocks, lambda b, i: walked(b, F.element_at(bases, i + 1))))
+    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(none)
 
 
 def _long_enough(match: Column) -> Column:

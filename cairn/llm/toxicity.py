@@ -7,11 +7,13 @@ offending sentence suffices, and sentences without evidence add nothing however
 many there are. Weights are trained on document labels through the noisy-or;
 the offending sentences are then those whose own score is high.
 
-Learning reads a bounded sample, ``Training.most_docs`` labelled documents in
-order of a hash of their id; scoring reads all documents, whole.
+Learning reads a bounded sample: whole labelled documents in order of a hash of
+their id, at most ``Training.most_docs`` of them and ``Training.most_bytes`` of
+text; scoring reads all documents, whole.
 
 Defined cases: null and empty texts have no evidence and score the leak; a null
-label is no label, of several labels of one id the greatest holds; without both
+label is no label, a null id has none and is held out, of several labels of one
+id the greatest holds, of several texts the least; without both
 labels in the sample every score is the share of label 1; other columns are
 ignored, and rows that repeat are scored each.
 """
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm._store import documents, small_batches, text_of
@@ -37,6 +39,7 @@ STOPS = np.isin(np.arange(256), [*b".!?\n"])
 @dataclass
 class Training:
     most_docs: int = 4_000
+    most_bytes: int = 64 << 20
     most_features: int = 4_096
     least_docs: int = 4
     least_z: float = 4.5
@@ -100,12 +103,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, how: Training
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.most_docs)
     )
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow()
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sizes = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over most_docs rows at most
+    sample = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(sizes)).filter(F.col("bytes") <= how.most_bytes).toArrow()
     return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy(), how)
 
 
 def held_out(column: str):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+    """Whether the remainder is 0; a null id, which no label can name, is held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def fit(texts: pa.Array, label: np.ndarray, how: Training) -> Model:
@@ -171,7 +177,7 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[di
         logit = np.bincount(sentence_at, model.weights[which], len(bags)) + model.bias
         owner = np.zeros(len(bags), np.int64)
         owner[sentence_at] = doc
-        clean = np.bincount(owner, -np.logaddexp(0, logit), len(found)) + np.log1p(-model.leak) if len(found) else np.zeros(0)
+        clean = np.bincount(owner, -np.logaddexp(0, logit), len(found)) + np.log1p(-min(model.leak, 1 - 1e-12)) if len(found) else np.zeros(0)
         score = np.clip(-np.expm1(clean), 0.0, 1.0)
         spans: list[list[dict]] = [[] for _ in range(len(found))]
         chance = _sigmoid(logit)

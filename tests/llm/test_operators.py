@@ -242,6 +242,11 @@ def test_leaks(spark):
     rows = [*clean, clean[0] + " " + tests[0].upper() + ".", clean[1] + " " + " ".join(edited), words(10) + " " + tests[10], " ".join(tests[5].split()[:9]) + " " + clean[3], None, ""]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), items(spark, tests)).collect()}
     assert got == {(30, 0), (31, 2), (32, 10)}
+    nameless = items(spark, tests).withColumn("item_id", F.when(F.col("item_id") != 1, F.col("item_id")))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), nameless).collect()} == got - {(31, 1)} | {(31, 2)}
+    again = decontaminate.leaks(docs(spark, [rows[30], rows[30], rows[0]], [None, None, 7]), items(spark, tests)).collect()
+    assert [(r.doc_id, r.item_id) for r in again] == [(None, 0)] * 2
+    assert decontaminate.without_leaks(docs(spark, [rows[30], rows[30], rows[0]], [None, None, 7]), items(spark, tests)).count() == 1
     small = decontaminate.Search(group_bytes=300)
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), items(spark, tests), small).collect()} == got
     kept = decontaminate.without_leaks(docs(spark, rows), items(spark, tests))
@@ -327,6 +332,34 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [f"{aws} {key}"] * 3, [1, 1, None])).count() == 3
 
 
+def test_many_matches(spark):
+    text = " ".join(f"{i % 7:x}" * 16 + ("é" if i % 3 else " token: abcdefghijklmn") for i in range(900))
+    (row,) = secret_scan.scan(docs(spark, [text])).collect()
+    assert [(s.start, s.end) for s in row.base if s.kind == 2] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert [(s.start, s.end) for s in row.base if s.kind == 0] == [m.span() for m in re.finditer("token: [a-z]+", text)]
+
+
+def nearby(spans, scope):
+    """Weak parts with a complementary part within ``scope``, pair by pair."""
+    role = lambda s: secret_scan.ROLES[secret_scan.KINDS[s[1]]]
+    gap = lambda s, t: max(s[0] - t[2], t[0] - s[2])
+    return sorted(s for s in spans if s[1] >= 3 and any(role(s) != role(t) and gap(s, t) <= scope for t in spans if t != s))
+
+
+def test_links_equal_all_pairs(spark):
+    rng = random.Random(21)
+    parts = ["ASIA" + "Q1W2E3R4T5", "aB3" * 8, "https://db.example.com/x", "AKIA" + "Z9Y8X7W6V5U4T3", "deadbeef" * 3, "word", "secret=abcdefghijklmnop"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " . " * rng.randint(1, 40)]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    weak = [("weak_access", secret_scan.WEAK_ACCESS), ("weak_secret", secret_scan.WEAK_SECRET), ("endpoint", secret_scan.ENDPOINT)]
+    found = 0
+    for r in secret_scan.scan(docs(spark, texts), 60).collect():
+        base = [tuple(s) for s in r.base]
+        every = base + [(m.start(), secret_scan.KINDS.index(k), m.end()) for k, p in weak for m in re.finditer(p, texts[r.doc_id])]
+        assert sorted(tuple(s) for s in r["all"]) == sorted(base + nearby(every, 60))
+        found += len(r["all"]) - len(base)
+    assert found > 40
+
+
 def test_long_weak_parts_are_linked(spark):
     key, access, url = "aB3" * 60, "ASIA" + "A1B2C3D4" * 6, "https://db.example.com/x"
     whole = "Zz9/" * 5000
@@ -414,6 +447,10 @@ def test_toxicity(spark):
     nothing = toxicity.train(spark, own, labels.filter("toxic = 0"))
     assert {r.score for r in toxicity.score(own, nothing).collect()} == {0.0}
     assert toxicity.score(own.limit(0), model).count() == 0
+    always = toxicity.train(spark, own, labels.filter("toxic = 1"))
+    assert {round(r.score, 6) for r in toxicity.score(own, always).collect()} == {1.0}
+    twice = toxicity.score(docs(spark, ["jerkface dumbhead rotter"] * 2 + [""], [None, None, 1]), model).select("doc_id", "score", toxicity.held_out("doc_id").alias("out")).collect()
+    assert len({r.score for r in twice[:2]}) == 1 and [r.out for r in twice[:2]] == [True, True] and None not in {r.out for r in twice}
 
 
 # --- Jaccard join
