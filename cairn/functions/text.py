@@ -38,6 +38,10 @@ DEPARTMENTS = (r"(?i)(?:department|部门)[:：]\s*([^\n]+)", r"(?:所属部门)
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 KEY_NOISE = r"(?i)(\b(?:v(?:ersion)?\s*\d+(?:\.\d+)*)\b|\b(?:19|20)\d{2}\b|\b(?:final|latest|draft)\b)"
 
+# What names of scopes, topics and files replace; what an exact match leaves out, in order.
+NAME_NOISE = r"[^a-zA-Z0-9._-]+"
+EVAL_NOISE = (r"\*\*|__|`", r"(?U)\s*\[[^\[\]]+:[^\[\]]+\](?=[。！？.!?]?\s*$)", r"(?U)[。！？.!?]+\s*$", r"(?U)\s+")
+
 # Extensions by modality, and MIME types by extension.
 MODALITIES = {
     "image": {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"},
@@ -183,10 +187,9 @@ def version_key(value: str | Column) -> Column:
 def eval_normalize(value: str | Column) -> Column:
     """For exact match: no emphasis marks, trailing citation, closing punctuation or white space."""
     text = strip(F.coalesce(col(value), F.lit("")))
-    text = F.regexp_replace(text, r"\*\*|__|`", "")
-    text = F.regexp_replace(text, r"(?U)\s*\[[^\[\]]+:[^\[\]]+\](?=[。！？.!?]?\s*$)", "")
-    text = F.regexp_replace(text, r"(?U)[。！？.!?]+\s*$", "")
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    for noise in EVAL_NOISE:
+        text = F.regexp_replace(text, noise, "")
+    return text
 
 
 def safe_float(value: str | Column, default: float = 0.0) -> Column:
@@ -206,18 +209,23 @@ def sentences(value: str | Column) -> Column:
 
 
 def safe_component(value: str | Column, default: str) -> Column:
-    text = F.regexp_replace(strip(F.coalesce(col(value), F.lit(""))), r"[^A-Za-z0-9._-]+", "-")
+    text = F.regexp_replace(strip(F.coalesce(col(value), F.lit(""))), NAME_NOISE, "-")
     text = F.regexp_replace(text, r"^[.\-_]+|[.\-_]+$", "")
     return F.coalesce(blank_to_null(F.left(text, F.lit(160))), F.lit(default))
 
 
+def _dashed(value: Column) -> Column:
+    """Runs of other characters than those of file names as a dash, none at the ends; null if nothing is left."""
+    return blank_to_null(F.regexp_replace(F.regexp_replace(value, NAME_NOISE, "-"), r"^-+|-+$", ""))
+
+
 def scope_id(kb: str | Column) -> Column:
-    return F.regexp_replace(F.coalesce(col(kb), F.lit("default")), r"[^a-zA-Z0-9._-]+", "-")
+    """A knowledge base as part of a name."""
+    return F.coalesce(_dashed(col(kb)), F.lit("default"))
 
 
 def topic_slug(kb: str | Column, topic: str | Column) -> Column:
-    part = F.regexp_replace(F.regexp_replace(F.lower(col(topic)), r"[^a-zA-Z0-9._-]+", "-"), r"^-+|-+$", "")
-    return F.concat(scope_id(kb), F.lit("--"), F.coalesce(blank_to_null(part), F.lit("topic")))
+    return F.concat(scope_id(kb), F.lit("--"), F.coalesce(_dashed(F.lower(col(topic))), F.lit("topic")))
 
 
 def summary(value: str | Column, limit: int = 600) -> Column:
@@ -314,3 +322,14 @@ def query_terms(value: str | Column) -> Column:
     words = F.transform(F.filter(F.regexp_extract_all(col(value), F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda x: F.length(x) >= 2), F.lower)
     runs = F.regexp_extract_all(col(value), F.lit(f"[{CJK}]+"), F.lit(0))
     return F.array_distinct(F.concat(words, F.flatten(F.transform(runs, lambda r: F.concat(*[ngrams(r, n) for n in (2, 3, 4)])))))
+
+
+def parse_bool(value: str | Column, default: bool = False) -> Column:
+    """A setting's text as a boolean; blank or null is the default, another text false."""
+    text = F.lower(strip(col(value)))
+    return F.coalesce(blank_to_null(text).isin("1", "true", "yes", "on"), F.lit(default))
+
+
+def json_text(value: str | Column) -> Column:
+    """Any value as JSON text, nulls kept."""
+    return F.to_json(F.struct(col(value).alias("v")), {"ignoreNullFields": "false"}).substr(F.lit(6), F.length(F.to_json(F.struct(col(value).alias("v")), {"ignoreNullFields": "false"})) - 6)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 
+# Fixed value: a word that is a number and nothing else.
+NUMBER = r"^\d+(?:_\d+)*(?:\.\d*)?(?:[eE][+-]?\d+)?$"
 KIND = "struct<doc_types: array<string>, version: string, date_from: string, date_to: string, soft: boolean>"
 
 
@@ -50,9 +52,9 @@ def display(filters: Column) -> Column:
 
 
 def relevance_score(reply: str | Column) -> Column:
-    """A judge's reply as a score: its first line that begins with a digit, between 0 and 1; 0.5 if there is none."""
-    found = F.filter(F.transform(F.split(T.col(reply), "\n"), T.strip), lambda x: x.rlike(r"^\d"))
-    number = F.regexp_extract(F.try_element_at(found, F.lit(1)), r"^(\d+(?:\.\d+)?)", 1).try_cast("double")
+    """A judge's reply as a score: the first word that is a number, of words that begin a line with a digit, between 0 and 1; 0.5 if there is none."""
+    words = F.transform(F.split(T.col(reply), "\n"), lambda x: F.regexp_extract(T.strip(x), r"(?U)^\d\S*", 0))
+    number = F.try_element_at(F.filter(words, lambda x: x.rlike(NUMBER)), F.lit(1)).try_cast("double")
     return F.least(F.greatest(F.coalesce(number, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
 
 

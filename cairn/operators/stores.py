@@ -109,7 +109,7 @@ def parse_variants(reply: Column, query: Column, most: int = 3) -> Column:
     """A model's lines as query variants behind the query itself: over five characters, one list mark taken off."""
     bare = F.filter(F.transform(F.split(reply, "\n"), T.strip), lambda x: F.length(x) > 5)
     clean = F.transform(bare, lambda x: T.strip(F.regexp_replace(x, r"^(?:[1-5]\.|[-*])\s*", "")))
-    kept = F.filter(clean, lambda x: (x != "") & (x != query))
+    kept = F.filter(clean, lambda x: (x != "") & (F.lower(x) != F.lower(query)))
     return F.slice(F.concat(F.array(query), kept), 1, most + 1)
 
 
