@@ -29,12 +29,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("cairn").getOrCreate()
     if given.command == "ingest":
         documents, chunks = ingest.run(spark, given.root, given.store, given.kb)
+        ingest.index_chunks(spark, given.store)
         ingest.compile_pages(spark, given.store)
         print(f"{documents} documents, {chunks} chunks")
     elif given.command == "search":
-        chunks = bm25.eligible(sinks.read(spark, f"{given.store}/chunks"))
         asked = spark.createDataFrame([(0, given.query)], "query_id long, query string")
-        bm25.search(chunks, asked, given.top, "chunk_id").orderBy("rank").show(given.top, False)
+        bm25.search_index(ingest.read_index(spark, given.store), asked, given.top).orderBy("rank").show(given.top, False)
     else:
         sinks.save_report(evaluate.run(files.read_dataset(spark, given.dataset))["aggregate"], given.report)
 

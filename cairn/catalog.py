@@ -4,8 +4,9 @@ Each query runs an operator over a whole table; columns that the tables lack
 (knowledge bases, versions, dates, wiki kinds) derive from ids, in both engines
 alike. SQL is DuckDB's.
 
-Six vector searches and fusions ask with ``vec_id < 5`` only, as their SQL does;
-those named ``..._every`` ask with every vector whose id is divisible by 100.
+Text searches ask with every row of ``benchmark``, vector searches with every
+vector whose id is divisible by 100; where both are fused, the vector's query
+has the text of the benchmark item whose number is the id's hundreds, modulo 40.
 """
 
 from __future__ import annotations
@@ -22,14 +23,9 @@ from cairn.sources import html
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-ASKED = [
-    (0, "the worthless tionen of and"),
-    (1, "le ouè enier des trereaux"),
-    (2, "la ciónes mente para los"),
-    (3, "Licensed under the Apache License Version 2.0"),
-    (4, "zu verge ein heit schen the the"),
-]
-ASKED_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") AS asked(query_id, query)"
+ASKED_SQL = "(SELECT item_id AS query_id, text AS query FROM benchmark) AS asked"
+EVERY = "vec_id % 100 = 0"
+PAIRED_SQL = f"(SELECT vec_id AS query_id, text AS query FROM embeddings JOIN benchmark ON vec_id // 100 % 40 = item_id WHERE {EVERY}) AS asked"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -46,8 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASKED, "query_id long, query string")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for the vectors that ask."""
+    items = asked(spark, sf_dir).withColumnRenamed("query_id", "item")
+    return table(spark, sf_dir, "embeddings").filter(EVERY).join(items, F.expr("vec_id div 100 % 40") == F.col("item")).select(F.col("vec_id").alias("query_id"), "query")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +77,12 @@ def tokens_sql(column: str) -> str:
     return rf"list_filter(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1 OR regexp_matches(x, '^\p{{L}}$'))"
 
 
-def bm25_sql(k: int, where: str = "true", docs: str = "documents", text: str = "text") -> str:
+def bm25_sql(k: int, where: str = "true", docs: str = "documents", text: str = "text", asked_sql: str = ASKED_SQL) -> str:
     """CTEs up to ``sparse(query_id, key, score, rank)``."""
     return f"""
 tok AS (SELECT doc_id, {tokens_sql(text)} AS tokens FROM {docs}),
 stat AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
-want AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens_sql("query")}) AS term FROM {ASKED_SQL}) GROUP BY ALL),
+want AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens_sql("query")}) AS term FROM {asked_sql}) GROUP BY ALL),
 post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM want) GROUP BY ALL),
 freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 score AS (SELECT query_id, doc_id AS key, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
@@ -92,7 +94,7 @@ def dense_sql(k: int, where: str = "true") -> str:
     return f"""
 dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS key, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score,
                                 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank
-                         FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND {where}) WHERE rank <= {k})"""
+                         FROM embeddings q, embeddings v WHERE q.{EVERY} AND {where}) WHERE rank <= {k})"""
 
 
 def rounded(hits: DataFrame, *extra: str) -> DataFrame:
@@ -100,12 +102,12 @@ def rounded(hits: DataFrame, *extra: str) -> DataFrame:
 
 
 def sparse_hits(spark: SparkSession, sf_dir: str, k: int, allowed: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
-    return bm25.search(table(spark, sf_dir, "documents"), asked(spark) if queries is None else queries, k, allowed=allowed)
+    return bm25.search(table(spark, sf_dir, "documents"), asked(spark, sf_dir) if queries is None else queries, k, allowed=allowed)
 
 
-def dense_hits(spark: SparkSession, sf_dir: str, k: int, wanted: str = "vec_id < 5") -> DataFrame:
+def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return vectors.search(rows, rows.filter(wanted).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k, "vec_id", "embedding")
+    return vectors.search(rows, rows.filter(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k, "vec_id", "embedding")
 
 
 # --- inverted index, vectors, fusion
@@ -118,7 +120,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql(10, 'key % 3 = query_id % 3')} SELECT query_id, key, round(score, 6) AS score, rank FROM sparse")
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")).join(F.broadcast(asked(spark).select("query_id")), F.col("key") % 3 == F.col("query_id") % 3)
+    scope = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")).join(asked(spark, sf_dir).select("query_id"), F.col("key") % 3 == F.col("query_id") % 3)
     return rounded(sparse_hits(spark, sf_dir, 10, scope))
 
 
@@ -142,7 +144,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, key, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM kept) WHERE rank <= 5""")
 def vector_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    wanted = rows.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    wanted = rows.filter(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return rounded(vectors.search_overfetch(rows, wanted, 5, F.col("label") % 2 == 0, "vec_id", "embedding"))
 
 
@@ -159,96 +161,49 @@ fused AS (SELECT query_id, key, sum(part) AS fused, max(d) AS dense_score, min(s
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, seen, key) AS rank FROM fused)"""
 
 
-@query(f"WITH {bm25_sql(20)}, {dense_sql(20)}, {RRF_SQL} SELECT query_id, key, round(fused, 9) AS fused, rank FROM ranked")
+@query(f"WITH {bm25_sql(20, asked_sql=PAIRED_SQL)}, {dense_sql(20)}, {RRF_SQL} SELECT query_id, key, round(fused, 9) AS fused, rank FROM ranked")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_ranks(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20)).select("query_id", "key", F.round("fused", 9).alias("fused"), "rank")
+    return fusion.reciprocal_ranks(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20, queries=paired(spark, sf_dir))).select("query_id", "key", F.round("fused", 9).alias("fused"), "rank")
 
 
-@query(f"""WITH {bm25_sql(20)}, {dense_sql(20)}, both_ AS (
+@query(f"""WITH {bm25_sql(20, asked_sql=PAIRED_SQL)}, {dense_sql(20)}, both_ AS (
   SELECT query_id, key, 0.7 * score / max(score) OVER (PARTITION BY query_id) AS part FROM dense UNION ALL
   SELECT query_id, key, 0.3 * score / max(score) OVER (PARTITION BY query_id) FROM sparse),
 fused AS (SELECT query_id, key, sum(part) AS fused FROM both_ GROUP BY ALL)
 SELECT query_id, key, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, key) AS rank FROM fused""")
 def score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.weighted_scores(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20)).select("query_id", "key", F.round("fused", 6).alias("fused"), "rank")
+    return fusion.weighted_scores(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20, queries=paired(spark, sf_dir))).select("query_id", "key", F.round("fused", 6).alias("fused"), "rank")
 
 
-@query(f"""WITH {bm25_sql(20)}, lists AS (SELECT query_id % 2 AS query_id, query_id AS variant, key, score, rank FROM sparse),
+@query(f"""WITH {bm25_sql(20)}, lists AS (SELECT query_id % 10 AS query_id, query_id AS variant, key, score, rank FROM sparse),
 fused AS (SELECT query_id, key, sum(1.0::DOUBLE / (60 + rank)) AS score, min(variant * 1000000 + rank) AS first FROM lists GROUP BY ALL)
 SELECT * FROM (SELECT query_id, key, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, key) AS rank FROM fused) WHERE rank <= 15""")
 def variant_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = sparse_hits(spark, sf_dir, 20).withColumns({"variant": F.col("query_id"), "query_id": F.col("query_id") % 2})
+    lists = sparse_hits(spark, sf_dir, 20).withColumns({"variant": F.col("query_id"), "query_id": F.col("query_id") % 10})
     return fusion.variants(lists, 15).select("query_id", "key", F.round("score", 9).alias("score"), "rank")
 
 
-@query(f"WITH {bm25_sql(20)}, {dense_sql(20)}, {RRF_SQL} SELECT query_id, key, round(coalesce(dense_score, fused), 6) AS score, round(fused, 9) AS fused, rank FROM ranked WHERE rank <= 10")
+@query(f"WITH {bm25_sql(20, asked_sql=PAIRED_SQL)}, {dense_sql(20)}, {RRF_SQL} SELECT query_id, key, round(coalesce(dense_score, fused), 6) AS score, round(fused, 9) AS fused, rank FROM ranked WHERE rank <= 10")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20), 10)
+    hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20, queries=paired(spark, sf_dir)), 10)
     return hits.select("query_id", "key", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"), "rank")
 
 
-@query(f"""WITH {bm25_sql(4)}, {dense_sql(20)}, once AS (
+@query(f"""WITH {bm25_sql(4, asked_sql=PAIRED_SQL)}, {dense_sql(20)}, once AS (
   SELECT query_id, key, min(list * 1000000 + rank) AS place, arg_min(score, list * 1000000 + rank) AS score
   FROM (SELECT query_id, key, score, rank, 0 AS list FROM sparse UNION ALL SELECT query_id, key, score, rank, 1 FROM dense) GROUP BY ALL)
 SELECT * FROM (SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY place, key) AS rank FROM once) WHERE rank <= 10""")
 def priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fusion.priority_merge(sparse_hits(spark, sf_dir, 4), dense_hits(spark, sf_dir, 20), 10))
-
-
-# --- the same searches for every vector whose id is divisible by 100; texts are asked in turn
-
-EVERY = "vec_id % 100 = 0"
-ASKED_EVERY_SQL = f"(SELECT vec_id AS query_id, query FROM embeddings JOIN {ASKED_SQL} ON vec_id // 100 % {len(ASKED)} = asked.query_id WHERE {EVERY}) AS asked_every"
-
-
-def every_sql(name: str) -> str:
-    return ORACLES[name].replace("q.vec_id < 5", f"q.{EVERY}").replace(ASKED_SQL, ASKED_EVERY_SQL)
-
-
-def every_hits(spark: SparkSession, sf_dir: str, dense_k: int, sparse_k: int) -> tuple[DataFrame, DataFrame]:
-    ids = table(spark, sf_dir, "embeddings").filter(EVERY).select("vec_id")
-    texts = asked(spark).withColumnRenamed("query_id", "turn")
-    queries = ids.join(F.broadcast(texts), F.expr(f"vec_id div 100 % {len(ASKED)}") == F.col("turn")).select(F.col("vec_id").alias("query_id"), "query")
-    return dense_hits(spark, sf_dir, dense_k, EVERY), sparse_hits(spark, sf_dir, sparse_k, queries=queries)
-
-
-@query(every_sql("vector_topk"))
-def vector_topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dense_hits(spark, sf_dir, 10, EVERY))
-
-
-@query(every_sql("vector_overfetch"))
-def vector_overfetch_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    wanted = rows.filter(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return rounded(vectors.search_overfetch(rows, wanted, 5, F.col("label") % 2 == 0, "vec_id", "embedding"))
-
-
-@query(every_sql("rrf_fusion"))
-def rrf_fusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_ranks(*every_hits(spark, sf_dir, 20, 20)).select("query_id", "key", F.round("fused", 9).alias("fused"), "rank")
-
-
-@query(every_sql("score_fusion"))
-def score_fusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.weighted_scores(*every_hits(spark, sf_dir, 20, 20)).select("query_id", "key", F.round("fused", 6).alias("fused"), "rank")
-
-
-@query(every_sql("hybrid_retrieve"))
-def hybrid_retrieve_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fusion.hybrid(*every_hits(spark, sf_dir, 20, 20), 10)
-    return hits.select("query_id", "key", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"), "rank")
+    return rounded(fusion.priority_merge(sparse_hits(spark, sf_dir, 4, queries=paired(spark, sf_dir)), dense_hits(spark, sf_dir, 20), 10))
 
 
-@query(every_sql("priority_merge"))
-def priority_merge_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, sparse = every_hits(spark, sf_dir, 20, 4)
-    return rounded(fusion.priority_merge(sparse, dense, 10))
+for name in ("vector_topk", "vector_overfetch", "rrf_fusion", "score_fusion", "hybrid_retrieve", "priority_merge"):
+    QUERIES[f"{name}_every"], ORACLES[f"{name}_every"] = QUERIES[name], ORACLES[name]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval with each hit's document and a preview."""
-    hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20), 10)
+    hits = fusion.hybrid(dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20, queries=paired(spark, sf_dir)), 10)
     docs = documents(spark, sf_dir).select("doc_id", "title", "source_path", T.preview("text", 120).alias("preview"))
     return hits.join(docs, hits["key"] == docs["doc_id"]).select("query_id", "rank", "doc_id", "title", "source_path", F.round("score", 6).alias("score"), "preview")
 
@@ -426,18 +381,18 @@ def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.label(context.quota_pick(rows, 12, {"topic": 2, "raw": 6, "source": 1, "index": 1})).select("query_id", "chunk_id", "evidence_role", "citation_label")
 
 
-@query(f"""SELECT query_id, doc_id, len(list_filter(list_distinct(list_filter(list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: length(x) >= 2)), lambda t: contains(lower(text), t)))::INTEGER AS covered
-FROM documents, {ASKED_SQL}""")
+@query(f"""WITH {bm25_sql(20)} SELECT query_id, key AS doc_id, len(list_filter(list_distinct(list_filter(list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: length(x) >= 2)), lambda t: contains(lower(text), t)))::INTEGER AS covered
+FROM sparse JOIN {ASKED_SQL} USING (query_id) JOIN documents ON doc_id = key""")
 def coverage_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(asked(spark)))  # five queries
-    return rows.select("query_id", "doc_id", F.size(context.covered(T.query_terms("query"), F.col("text"))).alias("covered"))
+    rows = sparse_hits(spark, sf_dir, 20).join(asked(spark, sf_dir), "query_id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), "key")
+    return rows.select("query_id", F.col("key").alias("doc_id"), F.size(context.covered(T.query_terms("query"), F.col("text"))).alias("covered"))
 
 
 @query()
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = sparse_hits(spark, sf_dir, 20).select("query_id", "rank", "score", F.col("key").cast("string").alias("chunk_id"))
     chunks = context_hits(spark, sf_dir).drop("query_id", "rank", "score")
-    built = context.build(hits.join(chunks, "chunk_id"), asked(spark), 6, {"topic": 2, "raw": 3, "source": 1, "index": 1})
+    built = context.build(hits.join(chunks, "chunk_id"), asked(spark, sf_dir), 6, {"topic": 2, "raw": 3, "source": 1, "index": 1})
     return built.select("query_id", "chunk_id", "evidence_role", "position", "citation_label", F.size("covered").alias("n_covered"))
 
 
@@ -489,7 +444,7 @@ def wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = wiki_pages(spark, sf_dir).persist()  # several branches read each
     topic = wiki.topics(pages).persist()
     everything = wiki.search_pages(topic, pages, wiki.index_pages(topic, pages)).persist()
-    scoped = asked(spark).withColumn("kb_id", F.element_at(F.array(*map(F.lit, ("en", "fr", "es", "en", "de"))), (F.col("query_id") + 1).cast("int")))
+    scoped = asked(spark, sf_dir).withColumn("kb_id", F.element_at(F.array(*map(F.lit, ("en", "fr", "es", "de"))), (F.col("query_id") % 4 + 1).cast("int")))
     return wiki.search(everything, scoped, 5).select("query_id", "key", "kind", F.round("score", 6).alias("score"), "rank")
 
 
@@ -601,10 +556,10 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.upsert(docs, rows, ["doc_id"])
 
 
-@query(f"SELECT doc_id FROM {DOCUMENTS_SQL} WHERE NOT (source_path = concat(source, '/7.txt') AND kb_id = lang AND doc_id = 7 AND source = (SELECT source FROM documents WHERE doc_id = 7))")
+@query(f"SELECT doc_id FROM {DOCUMENTS_SQL} WHERE doc_id % 10 <> 7")
 def delete_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    gone = docs.filter("doc_id = 7").select("source_path", "kb_id")
+    gone = docs.filter("doc_id % 10 = 7").select("source_path", "kb_id")
     return stores.delete_keys(docs, gone, ["source_path", "kb_id"]).select("doc_id")
 
 
@@ -653,7 +608,7 @@ def claim_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = sparse_hits(spark, sf_dir, 5).join(asked(spark), "query_id")
+    hits = sparse_hits(spark, sf_dir, 5).join(asked(spark, sf_dir), "query_id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     return hits.join(docs, "key").select("query_id", "key", answers.citation_span(F.col("query"), F.col("text")).alias("s")).select("query_id", "key", "s.*")
 

@@ -91,14 +91,33 @@ def nearest_rank(rows: DataFrame, value: str, share: float = 0.95, by: list[str]
     """
     by = by or []
     per = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    # a group's distinct values are ordered within blocks of values, and blocks by their counts
-    edges = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        return _nearest_rank_of_all(per, value, share)
+    edges = Window.partitionBy(*by)
     running = per.withColumns({"__upto": F.sum("__n").over(edges.orderBy(value)), "__all": F.sum("__n").over(edges)})
     at = F.least(F.floor(F.col("__all") * share), F.col("__all") - 1) + 1
     hit = running.groupBy(*by).agg(F.min(F.when(F.col("__upto") >= at, F.col(value))).alias("p"), F.sum("__n").alias("n"), (F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"))
     return hit.select(*by, "n", F.round("mean", 4).alias("latency_seconds_avg"), F.round("p", 4).alias("latency_seconds_p95"))
 
 
+def _nearest_rank_of_all(per: DataFrame, value: str, share: float) -> DataFrame:
+    """Of ``per(value, __n)`` in one group: ranges of values are counted first, then only the one that holds the rank is ordered."""
+    ranged = per.repartitionByRange(value).withColumn("__part", F.spark_partition_id())
+    sizes = ranged.groupBy("__part").agg(F.sum("__n").alias("n"), F.sum(F.col(value) * F.col("__n")).alias("s"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("low").collect()  # a row for each range
+    n = sum(r["n"] for r in sizes)
+    at, before = min(int(n * share), n - 1) + 1, 0
+    found = per.sparkSession.range(1).select(F.lit(None).cast("double").alias("p"))
+    for r in sizes:
+        if before < at <= before + r["n"]:
+            own = per.filter(F.col(value).between(r["low"], r["high"])).withColumn("__upto", F.sum("__n").over(Window.orderBy(value)) + before)
+            found = own.filter(F.col("__upto") >= at).agg(F.min(value).cast("double").alias("p"))
+        before += r["n"]
+    if not n:
+        return found.select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("latency_seconds_avg"), F.col("p").alias("latency_seconds_p95"))
+    mean = sum(r["s"] for r in sizes) / n
+    return found.select(F.lit(n).cast("long").alias("n"), F.lit(round(mean, 4)).alias("latency_seconds_avg"), F.round("p", 4).alias("latency_seconds_p95"))
+
+
 def mentions(answer: Column, markers: tuple[str, ...]) -> Column:
     return T.any_marker(answer, markers) | T.any_marker(F.lower(answer), markers)
 

@@ -89,3 +89,11 @@ def test_replay(spark):
     two = spark.createDataFrame([("a", "q", "x", ["2", "1"], []), ("b", "q", "y", ["2"], ["1"]), ("c", "q", "x", [], [])], names)
     got = {r.trace_id: (r.status, r.diffs) for r in evaluation.replay_diff(one, two).collect()}
     assert got == {"a": ("identical", []), "b": ("diff", ["context_ids", "answer"]), "c": ("trace_missing_query", [])}
+
+
+def test_nearest_rank_of_all_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("v"))
+    got = evaluation.nearest_rank(rows, "v").first()
+    assert (got.n, got.latency_seconds_avg, got.latency_seconds_p95) == (1000, 499.5, 950.0)
+    got = evaluation.nearest_rank(rows.limit(0), "v").first()
+    assert (got.n, got.latency_seconds_p95) == (0, None)

@@ -19,6 +19,9 @@ def test_bm25_formula(spark):
     scope = spark.createDataFrame([(0, "doc1")], "query_id long, key string")
     assert bm25.search(docs, asked, 2, allowed=scope).first().score == pytest.approx(part(1, 2))
     assert bm25.search(docs.limit(0), asked, 2).count() == 0
+    index = bm25.build_index(docs)
+    for allowed in (None, scope):
+        assert {(r.query_id, r.key, round(r.score, 9)) for r in bm25.search_index(index, asked, 2, allowed).collect()} == {(r.query_id, r.key, round(r.score, 9)) for r in bm25.search(docs, asked, 2, allowed=allowed).collect()}
 
 
 def test_vectors(spark):
@@ -71,8 +74,8 @@ def test_filters(spark):
 
     assert ids() == ["a", "b", "c", "d"] and ids(["POLICY"]) == ["a", "d"] and ids(["policy"], soft=True) == ["a", "c", "d"]
     assert ids(version="V2") == ["a", "b"] and ids(low="2026-01-01", high="2026年12月31日") == ["a", "b"]
-    replies = spark.createDataFrame([("why\n0.8 good\n0.1",), ("7",), ("none",), (None,)], "r string").select(filters.relevance_score("r").alias("s")).collect()
-    assert [r.s for r in replies] == [0.8, 1.0, 0.5, 0.5]
+    replies = spark.createDataFrame([("why\n0.8 good\n0.1",), ("7",), ("8/10\n0.3x\n0.25 so",), ("8/10",), ("none",), (None,)], "r string").select(filters.relevance_score("r").alias("s")).collect()
+    assert [r.s for r in replies] == [0.8, 1.0, 0.25, 0.5, 0.5, 0.5]
 
 
 def test_freshness(spark):

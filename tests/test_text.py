@@ -71,5 +71,8 @@ def test_ids(spark):
     assert one(spark, T.doc_id(F.lit("kb"), "t"), t="a/b").startswith("doc-") and len(one(spark, T.doc_id(F.lit("kb"), "t"), t="a/b")) == 28
     assert one(spark, T.topic_slug(F.lit("k b"), "t"), t="Leave Policy!") == "k-b--leave-policy"
     assert one(spark, T.topic_slug(F.lit("kb"), "t"), t="休假") == "kb--topic"
+    assert [one(spark, T.scope_id("t"), t=x) for x in ("-a b-", "!!", "", None)] == ["a-b", "default", "default", "default"]
+    assert [one(spark, T.parse_bool("t"), t=x) for x in (" Yes ", "on", "0", "", None)] == [True, True, False, False, False]
+    assert one(spark, T.json_text("t"), t='a"b') == '"a\\"b"' and one(spark, T.json_text(F.lit(None).cast("int")), t="") == "null"
     assert one(spark, T.modality("t"), t="x/Y.PNG") == "image"
     assert one(spark, T.mime_type("t"), t="a.mov") == "video/quicktime"
