@@ -59,7 +59,7 @@ WIDTH = 5
 SMALL_NODE = 24
 DEPTH = 3
 BLOCK_SETS, BLOCK_BYTES = 2048, 6 << 20
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
 MOST_ROUNDS = 100
 
 
