@@ -24,7 +24,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 STABLE = [(0x0000, 0x0378), (0x0400, 0x0530), (0x2000, 0x2065), (0x20A0, 0x20AD), (0x2100, 0x214E), (0x3000, 0x3040), (0x3041, 0x3097), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFF01, 0xFFBF)]
 WHITE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SLICE_CHARS = 1 << 20
-MOST_HELD = 3_000_000
+MOST_HELD = 1000000
 
 
 def _classes() -> np.ndarray:

@@ -40,7 +40,7 @@ def _key(number: int) -> Key:
     return number // SPAN + LOW, number % SPAN + LOW
 
 
-def _place(bounds: list[Key], key_hash: str = "key_hash", key_id: str = "key_id") -> Column:
+def place(bounds: list[Key], key_hash: str = "key_hash", key_id: str = "key_id") -> Column:
     """How many of the sorted bounds lie below the row's key: two short scans instead of a long one."""
     if not bounds:
         return F.lit(0)
@@ -111,7 +111,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.0005) -> list[K
     brackets = list(open_)
     while open_:
         asked = sorted({p for b in open_ for p in b.probes()})
-        cells = keys.groupBy(_place([_key(p) for p in asked]).alias("cell")).agg(F.sum("size").alias("bytes"), F.min(pair).alias("least"), F.max(pair).alias("most"))
+        cells = keys.groupBy(place([_key(p) for p in asked]).alias("cell")).agg(F.sum("size").alias("bytes"), F.min(pair).alias("least"), F.max(pair).alias("most"))
         held = {r["cell"]: r for r in cells.collect()}  # a row for each cell between probes
         seen, ends = 0, []
         for cell, probe in enumerate([*asked, None]):
@@ -139,9 +139,9 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, part_byt
     total = keys.agg(F.sum("size")).first()[0] or 0
     inner = max(1, min(most_parts // shards, -(-total // (shards * part_bytes))))
     cuts = splitters(keys, shards * inner, tolerance)
-    held = {r["part"]: r["n"] for r in keys.groupBy(_place(cuts).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
+    held = {r["part"]: r["n"] for r in keys.groupBy(place(cuts).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part
     before = [sum(held.get(q, 0) for q in range(p - p % inner, p)) for p in range(shards * inner)]
-    dealt = keyed.withColumn(part, _place(cuts, f"`{key_hash}`", f"`{key_id}`").cast("int")).repartitionById(shards * inner, F.col(part))
+    dealt = keyed.withColumn(part, place(cuts, f"`{key_hash}`", f"`{key_id}`").cast("int")).repartitionById(shards * inner, F.col(part))
     nth = F.row_number().over(Window.partitionBy(part).orderBy(key_hash, key_id)).cast("long") - 1
     base = F.element_at(F.array(*map(F.lit, before)), F.col(part) + 1)
     return dealt.withColumns({"slot": nth + base, "shard": (F.col(part) / inner).cast("int"), "law": F.lit("bytes")}).drop(key_hash, key_id, part)

@@ -42,6 +42,7 @@ from cairn.llm._store import documents, fresh_path, materialise, small_batches,
 from cairn.llm._tokens import Encoder
 from cairn.llm._words import mix
 from cairn.llm.packing import tokenizer_path
+from cairn.llm.sharding import LOW, place
 from cairn.llm.warc import _file_system
 
 MAGIC = b"CAIRNTOK"
@@ -49,9 +50,10 @@ HEADER = "<8sIIQQ32x"
 HEADER_BYTES = struct.calcsize(HEADER)
 
 
-def encoded(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, part_bytes: int = 16 << 20) -> DataFrame:
     """``part, at, doc_id, n, ids``, written in the stream's order: ``at`` is how many ids of its part precede the document; ``ids`` are compressed."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     path = tokenizer or tokenizer_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +74,15 @@ def encoded(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), pa.array(ends - sizes), *batch.columns], ["part", "at", "doc_id", "n", "ids"])
             done = int(ends[-1]) if len(ends) else done
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).mapInArrow(encode, "doc_id long, text_hash long, n long, ids binary")
-    ranged = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").select("doc_id", "n", "ids")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    # the ranges come from the keys alone: taking them from encoded rows would encode twice
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
+    keys = rows.select(F.coalesce("doc_id", F.lit(LOW)).alias("i"), F.col("text_hash").alias("h")).repartitionByRange(parts, "i", "h")
+    tops = keys.groupBy(F.spark_partition_id()).agg(F.max(F.struct("i", "h")).alias("top")).select("top.*").orderBy("i", "h").collect()  # a row for each range
+    at = place([tuple(t) for t in tops[:-1]], "coalesce(doc_id, (-9223372036854775807L - 1L))", "text_hash").cast("int")
+    made = rows.mapInArrow(encode, "doc_id long, text_hash long, n long, ids binary")
+    ranged = made.repartitionById(max(1, len(tops)), at).sortWithinPartitions("doc_id", "text_hash").select("doc_id", "n", "ids")
     return materialise(ranged.mapInArrow(count, "part int, at long, doc_id long, n long, ids binary"), "encoded", "none")
 
 
@@ -122,7 +131,7 @@ def write_shards(table: DataFrame, length: int = 1024, shard_rows: int = 32_768,
     docs, total = placed(table)
     count = -(-total // length)
     shards = -(-count // shard_rows)
-    folder, path = fresh_path(spark, "shards"), tokenizer or tokenizer_path()
+    folder, dtype = fresh_path(spark, "shards"), np.dtype(Encoder.of(tokenizer or tokenizer_path()).dtype)
     schema = pa.schema([("path", pa.string()), ("shard", pa.int64()), ("first_slot", pa.int64()), ("rows", pa.int64()), ("stride", pa.int64())])
     pieces = pa.schema([("slot", pa.int64()), ("from", pa.int32()), ("ids", pa.binary())])
 
@@ -130,7 +139,7 @@ def write_shards(table: DataFrame, length: int = 1024, shard_rows: int = 32_768,
         """Documents to their shares of the sequences with slots in a range."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unpack, dtype = zstandard.ZstdDecompressor(), np.dtype(Encoder.of(path).dtype)
+            unpack = zstandard.ZstdDecompressor()
             for batch in batches:
                 starts, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 first = starts // length
@@ -156,7 +165,7 @@ def write_shards(table: DataFrame, length: int = 1024, shard_rows: int = 32_768,
         return run
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, dtype = TaskContext.get(), np.dtype(Encoder.of(path).dtype)
+        task = TaskContext.get()
         stride, out, begun, slot, held = 4 + length * dtype.itemsize, None, 0, None, []
 
         def close() -> None:
