@@ -524,3 +524,21 @@ def test_one_of_each_goes_by_text(spark):
     assert {r.doc_id for r in kept if r.text == texts[4]} == {9}
     kept = jaccard_join.one_of_each(docs(spark, texts[2:4] * 2, [None] * 4)).collect()
     assert len(kept) == 1
+
+
+def test_columns_of_any_name_are_carried(spark, monkeypatch):
+    """Names that the operators use inside; with every recurring line hot as well."""
+    names = ["id", "row", "words", "gone", "lines", "dense", "hash", "own_hash", "every", "key_hash", "key_id", "part", "__id", "__row", "copy"]
+    line = "a line that recurs in many documents and is long enough"
+    rows = spark.createDataFrame([(i, f"{line}\n{i} unlike the other texts of this table", *[7] * len(names)) for i in range(8)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    whole = lambda df: all(tuple(r[n] for n in names) == (7,) * len(names) for r in df.collect())
+    for hot in (1_000, 1):
+        monkeypatch.setattr(_store, "HOT_ROWS", hot)
+        thinned = line_dedup.dedup_lines(rows)
+        assert whole(thinned) and {r.doc_id: r.n_dropped for r in thinned.collect()} == {i: int(i < 7) for i in range(8)}
+    parts = sharding.shard(rows, 2, part_bytes=100)
+    assert whole(parts) and all(sorted(r.slot for r in parts.collect() if r.shard == s) == list(range(sum(r.shard == s for r in parts.collect()))) for s in (0, 1))
+    kept = decontaminate.without_leaks(rows, items(spark, [line]))
+    assert kept.columns == rows.columns and kept.count() == 0 and whole(decontaminate.without_leaks(rows, items(spark, ["absent words"])))
+    once = jaccard_join.one_of_each(rows)
+    assert once.columns == rows.columns and whole(once) and once.count() > 0
