@@ -59,7 +59,6 @@ WIDTH = 5
 SMALL_NODE = 24
 DEPTH = 3
 BLOCK_SETS, BLOCK_BYTES = 2048, 6 << 20
-BROADCAST_BYTES = 64 << 20
 MOST_ROUNDS = 100
 
 
@@ -178,18 +177,16 @@ def _pairs_of_nodes(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.mapInArrow(run, "a binary, b binary")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table of keys, broadcast while it is small by bytes (about 100 a row, 16 for each node); otherwise Spark exchanges both sides."""
-    size = F.lit(100) + (F.lit(16) * F.size("nodes") if "nodes" in df.columns else F.lit(0))
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
-
-
 def _rep_sets(sets: DataFrame, keys: DataFrame, repeats: bool) -> DataFrame:
-    """One row of ``sets`` for each of the written ``keys(key, rep, rep_hash, ...)``; ``repeats``: whether rows of equal id and text exist."""
+    """One row of ``sets`` for each of the written ``keys(key, rep, rep_hash, ...)``; ``repeats``: whether rows of equal id and text exist.
+
+    Keys grow with the documents, so they are exchanged beside the sets at every
+    size, never broadcast; a partition's keys are hashed, so the sets need no sort.
+    """
     own = sets.filter("n > 0").select("key", "n", "sketch", "tokens", "doc_id", "text_hash")
     # the documents that stand for a set: each is one row, so no key gathers its copies
     chosen = keys.withColumnsRenamed({"key": "of", "rep": "doc_id", "rep_hash": "text_hash"})
-    joined = own.join(_bounded(chosen), own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["text_hash"] == chosen["text_hash"]))
+    joined = own.join(chosen.hint("shuffle_hash"), own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["text_hash"] == chosen["text_hash"]))
     rows = joined.drop("doc_id", "text_hash", "of")
     return rows.dropDuplicates(["key"]) if repeats else rows
 
