@@ -5,13 +5,20 @@ pieces behind a first one that may be shorter; full pieces fill a sequence, and
 each document leaves at most one piece to place.
 
 Placing is bulk-synchronous best fit. Lengths are whole numbers up to the
-capacity, so the range-sorted documents are held as counts by length and the
-range-sorted gaps as runs of sequences with equal room: at most ``capacity``
-lengths and a few runs for each, whatever the number of documents. A round
-takes the longest length left and sweeps the gaps upward from it: each gap's
-sequences take as many documents as fit, first come by rank, so no two
-documents claim one place; then the gaps are updated. That is what best-fit
-decreasing does one by one, done for all documents of a length at once.
+capacity, so documents are held as runs of ranks of equal length and gaps as
+runs of sequences of equal room: a few thousand rows, whatever the number of
+documents. In a round, runs are sorted by size from the largest and swept: a gap
+is put on a stack and a document takes the gap on top, which is its successor
+among those not taken, the smallest that it fits in. Ranks resolve conflicts, as
+the longer document and then the lower rank is first. All of that is running
+sums: a gap and its document stand at the same depth of the stack, next to each
+other, so the match is a ``lag`` within each depth. Then gaps are updated, and
+the round is written and repeats with the documents left.
+
+A round takes documents of at least half the longest one left; shorter ones wait,
+or they would take room that best-fit decreasing gives to longer ones. Documents
+longer than every gap open sequences, no more than they need in any packing.
+The result is within a few of best-fit decreasing done one by one.
 
 Rounds hand out ranges of ranks; which document has which rank is settled by
 the executors. Ranks come from counts by length and block of ids, so a length
@@ -24,12 +31,13 @@ interchangeable; an empty table packs into nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm._store import documents, materialise, small_batches, text_of
@@ -71,46 +79,80 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Placements ``(length, first rank, how many, first sequence, per sequence, offset)`` and the number of sequences.
-
-    ``counts``: documents by length. A gap's runs all have the same offset.
+def _is(kind: str) -> Column:
+    return F.col("kind") == kind
+
+
+def _row(kind: str, size: Column, first: Column, n: Column, last: Column | None = None, at: Column | None = None) -> Column:
+    """A run: ``first`` rank or sequence and how many; where placed, the ``last`` sequence (ranks rise as sequences fall) and the offset."""
+    none = F.lit(None)
+    return F.struct(
+        F.lit(kind).alias("kind"), size.cast("int").alias("size"), first.cast("long").alias("first"), n.cast("long").alias("n"),
+        (none if last is None else last).cast("long").alias("last"), (none if at is None else at).cast("int").alias("at"),
+    )
+
+
+def swept(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``pos`` in the sweep and the stack's depth before and after them; a document that finds it empty leaves it so."""
+    order = Window.orderBy(F.desc("size"), _is("doc"), "first")  # gaps before documents of their size
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    signed = F.when(_is("gap"), F.col("n")).otherwise(-F.col("n"))
+    rows = runs.withColumn("pos", F.row_number().over(order)).withColumn("sum", F.sum(signed).over(so_far))
+    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
+    rows = rows.withColumn("before", F.coalesce(F.lag("depth").over(order), F.lit(0)))
+    return rows.withColumn("low", F.least("before", "depth")).withColumn("high", F.greatest("before", "depth"))
+
+
+def sweep(runs: DataFrame, longest: int, capacity: int) -> DataFrame:
+    """One round: what is placed, and the documents and gaps that are left."""
+    waits = _is("doc") & (F.col("size") * 2 < longest)
+    rows = swept(runs.filter(~waits))
+    moved = rows.filter("high > low")
+    # depths at which a run begins or ends cut all runs into parts that match whole
+    levels = moved.select(F.explode(F.array("low", "high")).alias("level")).distinct()
+    cuts = levels.select("level", F.lag("level").over(Window.orderBy("level")).alias("below"))
+    parts = moved.join(F.broadcast(cuts), (F.col("level") > F.col("low")) & (F.col("level") <= F.col("high")))
+    stack = Window.partitionBy("level").orderBy("pos")
+    met = parts.withColumn("gap", F.when(_is("doc"), F.lag(F.struct("size", "first", "before")).over(stack))).withColumn("taken", F.lead("kind").over(stack).isNotNull())
+
+    spans = met.filter(_is("doc") | ~F.col("taken")).groupBy("kind", "pos", "size", "first", "before", "gap").agg(F.min("below").alias("x"), F.max("level").alias("y"))
+    n, within = F.col("y") - F.col("x"), F.col("gap.first") - F.col("gap.before")
+    placed = _row("placed", F.col("size"), F.col("first") + F.col("before") - F.col("y"), n, within + F.col("y") - 1, F.lit(capacity) - F.col("gap.size"))
+    less = _row("gap", F.col("gap.size") - F.col("size"), within + F.col("x"), n)
+    idle = _row("gap", F.col("size"), F.col("first"), n)
+    matched = spans.select(F.explode(F.when(_is("doc"), F.array(placed, less)).otherwise(F.array(idle))).alias("r")).select("r.*").filter("size > 0")
+    took = F.col("before") - F.col("depth")
+    docs = rows.filter(_is("doc") & (F.col("n") > took)).select(_row("doc", F.col("size"), F.col("first") + took, F.col("n") - took).alias("r")).select("r.*")
+    return matched.unionByName(docs).unionByName(runs.filter(waits))
+
+
+def plan(counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Placements ``length, lo, some, last, at`` of ``counts(length, n)``, and the number of sequences.
+
+    Ranks ``lo + i`` (``i < some``) of a length go to sequence ``last - i``, offset ``at``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    placed, used = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        for gap in sorted(g for g in gaps if g >= length):
-            if not left:
-                break
-            each, runs = gap // length, gaps.pop(gap)
-            while runs and left:
-                first, n = runs.pop()
-                take = min(n, -(-left // each))
-                some = min(left, take * each)
-                placed.append((length, rank, some, first, each, capacity - gap))
-                rank, left = rank + some, left - some
-                full = some // each
-                if full:
-                    gaps.setdefault(gap - each * length, []).append((first, full))
-                if full < take:
-                    gaps.setdefault(gap - (some - full * each) * length, []).append((first + full, 1))
-                if take < n:
-                    runs.append((first + take, n - take))
-            if runs:
-                gaps.setdefault(gap, []).extend(runs)
-        if left:
-            each = capacity // length
-            opened = -(-left // each)
-            placed.append((length, rank, left, used, each, 0))
-            full = left // each
-            if full:
-                gaps.setdefault(capacity - each * length, []).append((used, full))
-            if full < opened:
-                gaps.setdefault(capacity - (left - full * each) * length, []).append((used + full, 1))
+    spark = counts.sparkSession
+    state = materialise(counts.select(_row("doc", F.col("length"), F.lit(0), F.col("n")).alias("r")).select("r.*"), "round")
+    done, used = [state.filter("kind = 'placed'")], 0
+    while True:
+        widest = F.coalesce(F.max(F.when(_is("gap"), F.col("size"))).over(Window.partitionBy(F.lit(0))), F.lit(0))
+        beyond = _is("doc") & (F.col("size") > F.col("widest"))
+        seen = state.withColumn("widest", widest).agg(
+            F.max(F.when(_is("doc"), F.col("size"))).alias("longest"),
+            F.sum(F.when(beyond, F.col("size") * F.col("n"))).alias("tokens"),
+            F.sum(F.when(beyond & (F.col("size") * 2 > capacity), F.col("n"))).alias("halves"),
+        ).first()
+        if seen["longest"] is None:
+            break
+        if seen["tokens"]:
+            opened = max(-(-seen["tokens"] // capacity), seen["halves"] or 0)
+            state = state.unionByName(spark.range(1).select(_row("gap", F.lit(capacity), F.lit(used), F.lit(opened)).alias("r")).select("r.*"))
             used += opened
-        gaps.pop(0, None)
-    return placed, used
+        met = materialise(sweep(state, seen["longest"], capacity), "round")
+        done.append(met.filter("kind = 'placed'"))
+        state = met.filter("kind <> 'placed'")
+    placed = functools.reduce(DataFrame.unionByName, done)
+    return placed.select(F.col("size").alias("length"), F.col("first").alias("lo"), F.col("n").alias("some"), "last", "at"), used
 
 
 def ranked(parts: DataFrame, block_rows: int = 50_000) -> DataFrame:
@@ -127,16 +169,13 @@ def ranked(parts: DataFrame, block_rows: int = 50_000) -> DataFrame:
 
 def pack(parts: DataFrame, capacity: int = 1024) -> DataFrame:
     """``parts`` (written before, as they are read several times) with ``sequence_id`` and ``offset``."""
-    spark = parts.sparkSession
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    placed, _ = plan(counts, capacity)
-    places = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*placed, strict=True)] if placed else [pa.array([], pa.int64())] * 6, names=["length", "lo", "some", "first", "each", "at"]))
-    # rows of the plan are bounded by the capacity, not by the documents; past a size they are joined by exchange
-    places = F.broadcast(places) if len(placed) <= 200_000 else places
+    placed, _ = plan(parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")), capacity)
+    places = materialise(placed, "places")
+    # a few rows for each length and round, not for each document; past a size they are joined by exchange
+    places = F.broadcast(places) if places.count() <= 200_000 else places
     row = ranked(parts)
     joined = row.join(places, (row["length"] == places["length"]) & (row["rank"] >= places["lo"]) & (row["rank"] < places["lo"] + places["some"]))
-    nth = F.col("rank") - F.col("lo")
-    return joined.select(*[row[c] for c in parts.columns], (F.col("first") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + (nth % F.col("each")) * row["length"]).cast("long").alias("offset"))
+    return joined.select(*[row[c] for c in parts.columns], (F.col("last") - (F.col("rank") - F.col("lo"))).alias("sequence_id"), F.col("at").cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:

@@ -175,27 +175,54 @@ def test_packing(spark, corpus):
     assert packing.pack_documents(docs(spark, ["a"] * 6, [1, 1, 1, None, None, 2]), 8).count() == 6
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = random.Random(4)
-    for _ in range(60):
-        lengths = [rng.randint(1, 50) for _ in range(rng.randint(1, 120))]
-        gaps = []
-        for x in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= x]
+def one_by_one(lengths, capacity):
+    """Sequences opened by the rounds of best fit, document by document; and by best-fit decreasing."""
+    left, gaps, used = sorted(lengths, reverse=True), [], 0
+    while left:
+        beyond = [x for x in left if x > max(gaps, default=0)]
+        if beyond:
+            opened = max(-(-sum(beyond) // capacity), sum(2 * x > capacity for x in beyond))
+            gaps += [capacity] * opened
+            used += opened
+        free, fresh, rest = sorted(gaps), [], []
+        for x in left:
+            fits = [g for g in free if g >= x] if 2 * x >= left[0] else []
             if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - x)
+                free.remove(min(fits))
+                fresh.append(min(fits) - x)
             else:
-                gaps.append(50 - x)
-        counts = collections.Counter(lengths)
-        placed, used = packing.plan(counts, 50)
-        filled = collections.Counter()
-        for length, rank, some, first, each, at in placed:
-            for k in range(some):
-                assert at + (k % each) * length == filled[first + k // each]
-                filled[first + k // each] += length
-            counts[length] -= some
-        assert used == len(gaps) and max(filled.values()) <= 50 and not any(counts.values())
+                rest.append(x)
+        left, gaps = rest, free + fresh
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append(min(fits, default=capacity) - x)
+    return used, len(gaps)
+
+
+@pytest.mark.parametrize("seed", (0, 2))
+def test_rounds_are_best_fit(spark, seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, (50, 50, 20, 6)[seed]) for _ in range((120, 40, 200, 150)[seed])] + [50] * seed
+    counts = collections.Counter(lengths)
+    placed, used = packing.plan(spark.createDataFrame(list(counts.items()), "length int, n long"), 50)
+    spans = collections.defaultdict(list)
+    for length, lo, some, last, at in placed.collect():
+        counts.subtract({length: some})
+        for i in range(some):
+            spans[last - i].append((at, length))
+    assert not any(counts.values()) and set(spans) == set(range(used))
+    for own in spans.values():
+        own.sort()
+        assert [at for at, _ in own] == np.cumsum([0, *[n for _, n in own[:-1]]]).tolist() and sum(n for _, n in own) <= 50
+    rounds, decreasing = one_by_one(lengths, 50)
+    assert used == rounds <= decreasing + 1
+    ranks = collections.defaultdict(list)
+    for r in placed.collect():
+        ranks[r.length] += range(r.lo, r.lo + r.some)
+    assert all(sorted(own) == list(range(len(own))) for own in ranks.values())
 
 
 # --- decontamination
