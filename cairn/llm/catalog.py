@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontaminate, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
+from cairn.llm import decontaminate, filter_audit, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_training_order": training_order.op8_training_order,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
