@@ -256,8 +256,8 @@ def components(links: DataFrame) -> DataFrame:
 MEMBERS = pa.schema([("key", pa.binary()), ("texts", pa.int64()), ("tokens", pa.binary())])
 
 
-def compare_within(members: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of each group of ``members(comp, key, tokens, texts)``, in blocks.
+def compare_within(members: DataFrame, threshold: float, token: str = "<u4") -> DataFrame:
+    """All pairs of each group of ``members(comp, key, tokens, texts)``, in blocks; ``token`` is how a token is held.
 
     Rows ``key, other, links``: with ``other`` null, how many texts of one other
     block the key is linked to; else a link of the pair of blocks' forest.
@@ -277,7 +277,7 @@ def compare_within(members: DataFrame, threshold: float) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             if group[2] == 1:
-                rows = [(*r, None, None, None) for r in _compared(held, held, True, threshold)]
+                rows = [(*r, None, None, None) for r in _compared(held, held, True, threshold, token)]
             else:
                 fs, root = _file_system(folder)
                 fs.create_dir(root, recursive=True)
@@ -314,7 +314,7 @@ def compare_within(members: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 first = fetch(one)
-                rows = _compared(first, first if one == other else fetch(other), one == other, threshold)
+                rows = _compared(first, first if one == other else fetch(other), one == other, threshold, token)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(3)], schema=pa.schema([schema.field(c) for c in range(3)]))
 
     right = written.withColumnsRenamed({"block": "other_block", "path": "other_path"})
@@ -358,11 +358,11 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compared(first: list[tuple], second: list[tuple], same: bool, threshold: float) -> list[tuple]:
+def _compared(first: list[tuple], second: list[tuple], same: bool, threshold: float, token: str = "<u4") -> list[tuple]:
     """Rows ``(key, other, links)`` of a pair of blocks of ``(key, texts, tokens)``."""
-    one, two = ([np.frombuffer(h[2], "<u4") for h in block] for block in (first, second))
+    one, two = ([np.frombuffer(h[2], token) for h in block] for block in (first, second))
     shared = _shared(one, two)
-    n1, n2 = np.array([len(x) for x in one], np.float32)[:, None], np.array([len(x) for x in two], np.float32)[None, :]
+    n1, n2 = np.array([len(x) for x in one], np.float64)[:, None], np.array([len(x) for x in two], np.float64)[None, :]
     linked = shared >= threshold * (n1 + n2 - shared) - 1e-3
     if same:
         np.fill_diagonal(linked, False)
