@@ -270,14 +270,14 @@ WITH RECURSIVE doc AS (
                                     '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ), run AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS run
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS run
   FROM doc
 ), size AS (
   SELECT doc_id, count(*) AS n FROM run GROUP BY doc_id
 ), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM run a JOIN run b USING (run) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM run a JOIN run b USING (run) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
 ), link AS (
-  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * met >= 80 * (x.n + y.n - met)
 ), reach(doc_id, low) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
