@@ -5,9 +5,15 @@ Weak candidates are parts of one credential that mean nothing alone: a bare
 access identifier, a bare secret of mixed characters, an endpoint. They are
 linked by an interval join within a scope: every part spans ``scope`` code
 points around itself, and a weak part is reported only if a part of a
-complementary kind (base matches count too) lies within. The join is a sweep:
-parts sorted by position within a document, each looking at the nearest
-complementary part on either side, so no pairs are formed.
+complementary kind (base matches count too) lies within and is other text: parts
+that overlap are no two parts, and a weak part that overlaps an endpoint is text
+of that endpoint, such as the path of an address, and no part of its own.
+
+A document gives one row for each match: the length of what stands between it
+and the match before, and its own. Running sums over a document's matches place
+them, and the interval join is a sweep over the places where parts begin and
+end: each looks at the last end before it and the first beginning after it of
+each kind of part. No pairs are formed, and time is linear in the matches.
 
 Spans are code points, end exclusive. Everything is Catalyst expressions.
 
@@ -17,6 +23,8 @@ text are reported each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,67 +43,78 @@ ENDPOINT = r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqps?|s3)://[^\s
 ROLES = {"assign": "secret", "access": "access", "hex": "secret", "weak_access": "access", "weak_secret": "secret", "endpoint": "endpoint"}
 
 
-def spans(text: Column, pattern: str, kind: str, least: Column | None = None) -> Column:
-    """``array<struct<start, kind, end>>`` of a pattern's leftmost matches, in order.
-
-    Starts follow from the lengths of the pieces between matches, summed in two
-    levels (blocks of about the root of their number), so that a text of very
-    many matches is not copied once for each. ``least`` drops matches after
-    matching, by a condition on the match's text.
-    """
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    both = F.transform(F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p")), lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("long"), (least(x["m"]) if least else F.lit(True)).alias("ok")))
-    width = F.ceil(F.sqrt(F.size(both))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(both) / width).cast("int") - 1), lambda b: F.slice(both, b * width + 1, width))
-    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x["gap"] + x["long"]))
-    bases = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 
-    def walked(block: Column, base: Column) -> Column:
-        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["long"]).alias("at"), F.concat(acc["out"], F.when(x["ok"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + x["gap"] + x["long"]).alias("end")))).otherwise(none)).alias("out"))
-        return F.aggregate(block, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    placed = F.flatten(F.transform(blocks, lambda b, i: walked(b, F.element_at(bases, i + 1))))
-    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(none)
+def pieces(text: Column, pattern: str, least: Callable[[Column], Column] | None = None) -> Column:
+    """``array<struct<gap, long, ok>>`` of a pattern's leftmost matches, in order: what precedes each, its length, and whether it passes ``least``."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("p"))
+    measured = F.transform(both, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("long"), (least(x["m"]) if least else F.lit(True)).alias("ok")))
+    return F.when(F.rlike(text, F.lit(pattern)), measured).otherwise(F.array().cast("array<struct<gap:int,long:int,ok:boolean>>"))
 
 
 def _long_enough(match: Column) -> Column:
     return F.length(F.regexp_extract(match, ASSIGN, 2)) >= 12
 
 
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "weak_access": WEAK_ACCESS, "weak_secret": WEAK_SECRET, "endpoint": ENDPOINT}
+
+
 def scan(docs: DataFrame, scope: int = 240) -> DataFrame:
     """``doc_id, base, all``: arrays of ``(start, kind, end)``, sorted; ``kind`` indexes ``KINDS``."""
     text = F.col("text")
-    rows = docs.select("doc_id", text_of().alias("text")).select(
-        "doc_id",
-        F.xxhash64("text").alias("row"),
-        F.array_sort(F.concat(spans(text, ASSIGN, "assign", _long_enough), spans(text, ACCESS, "access"), spans(text, HEX, "hex"))).alias("base"),
-        F.concat(spans(text, WEAK_ACCESS, "weak_access"), spans(text, WEAK_SECRET, "weak_secret"), spans(text, ENDPOINT, "endpoint")).alias("weak"),
-    )
-    rows = materialise(rows, "secret-parts")
-    linked = link(rows, scope)
-    both = rows.join(linked, [rows["doc_id"].eqNullSafe(linked["l_id"]), rows["row"] == linked["l_row"]], "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("all"))
-
-
-def link(rows: DataFrame, scope: int) -> DataFrame:
-    """Weak parts that have a complementary part within ``scope``: ``l_id, l_row, linked``."""
-    role = F.element_at(F.array(*[F.lit(("access", "secret", "endpoint").index(ROLES[k])) for k in KINDS]), F.col("p.kind") + 1)
-    parts = rows.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).select("doc_id", "row", "base", "weak").dropDuplicates(["doc_id", "row"])
-    parts = parts.select("doc_id", "row", F.explode(F.concat("base", "weak")).alias("p")).withColumn("role", role)
-    before = Window.partitionBy("doc_id", "row").orderBy("p.start", "p.kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("doc_id", "row").orderBy("p.start", "p.kind").rowsBetween(1, Window.unboundedFollowing)
-    near = {}
+    found = [pieces(text, PATTERNS[k], _long_enough if k == "assign" else None).alias(k) for k in KINDS]
+    rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("row"), *found)
+    rows = materialise(rows, "secret-matches")
+    parts = placed(rows)
+    linked = link(parts, scope)
+    spans = parts.filter("kind < 3").unionByName(linked).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("every"))
+    spans = spans.withColumnsRenamed({"doc_id": "l_id", "row": "l_row"})
+    both = rows.select("doc_id", "row").join(spans, [rows["doc_id"].eqNullSafe(spans["l_id"]), rows["row"] == spans["l_row"]], "left")
+    every = F.coalesce("every", F.array().cast(SPANS))
+    return both.select("doc_id", F.filter(every, lambda x: x["kind"] < 3).alias("base"), every.alias("all"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, start, kind, end`` of the matches that count, once for rows of equal id and text."""
+    some = rows.filter(" OR ".join(f"size({k}) > 0" for k in KINDS)).dropDuplicates(["doc_id", "row"])
+    every = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.col(k).alias("own")) for n, k in enumerate(KINDS))))
+    each = some.select("doc_id", "row", every.alias("k")).select("doc_id", "row", F.col("k.kind").alias("kind"), F.posexplode("k.own").alias("nth", "p"))
+    so_far = Window.partitionBy("doc_id", "row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the documents' order of columns is that of the windows below, which then need no exchange
+    dealt = each.repartition("doc_id", "row").select("doc_id", "row", "kind", "nth", "p.gap", "p.long", "p.ok")
+    ends = dealt.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(so_far).cast("int")).filter("ok")
+    return ends.select("doc_id", "row", (F.col("end") - F.col("long")).alias("start"), "kind", "end")
+
+
+def link(parts: DataFrame, scope: int) -> DataFrame:
+    """Weak parts that have a complementary part, of other text, within ``scope``."""
+    role = F.element_at(F.array(*[F.lit(("access", "secret", "endpoint").index(ROLES[k])) for k in KINDS]), F.col("kind") + 1)
+    endpoint = KINDS.index("endpoint")
+    own = Window.partitionBy("doc_id", "row")
+    # endpoints do not overlap each other, so the last one that began ends last, and the next one begins first
+    before = own.orderBy("start", F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = own.orderBy(F.col("start").desc(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    address = F.col("kind") == endpoint
+    swept = parts.withColumns({"within": F.max(F.when(address, F.col("end"))).over(before), "next": F.min(F.when(address, F.col("start"))).over(after)})
+    inside = F.col("kind").isin(3, 4) & ((F.coalesce("within", F.lit(0)) > F.col("start")) | (F.coalesce("next", F.col("end")) < F.col("end")))
+    alone = swept.filter(~inside).select("doc_id", "row", "start", "kind", "end", role.alias("role"))
+    # two events for each part; at one place ends come before beginnings
+    event = F.explode(F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("begins")), F.struct(F.col("start").alias("at"), F.lit(1).alias("begins"))))
+    events = alone.select("*", event.alias("e")).select("doc_id", "row", "start", "kind", "end", "role", "e.at", "e.begins")
+    left = own.orderBy("at", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    right = own.orderBy(F.col("at").desc(), F.col("begins").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = {}
     for r in range(3):
-        near[f"before{r}"] = F.max(F.when(F.col("role") == r, F.col("p.end"))).over(before)
-        near[f"after{r}"] = F.min(F.when(F.col("role") == r, F.col("p.start"))).over(after)
-    swept = parts.withColumns(near)
-    ok = F.lit(False)
+        sides[f"left{r}"] = F.max(F.when((F.col("begins") == 0) & (F.col("role") == r), F.col("at"))).over(left)
+        sides[f"right{r}"] = F.min(F.when((F.col("begins") == 1) & (F.col("role") == r), F.col("at"))).over(right)
+    near = F.lit(False)
     for r in range(3):
-        ok = ok | ((F.col("role") != r) & ((F.col("p.start") - F.col(f"before{r}") <= scope) | (F.col(f"after{r}") - F.col("p.end") <= scope)))
-    weak = swept.filter((F.col("p.kind") >= 3) & F.coalesce(ok, F.lit(False)))
-    return weak.groupBy(F.col("doc_id").alias("l_id"), F.col("row").alias("l_row")).agg(F.collect_list("p").alias("linked"))
+        gap = F.when(F.col("begins") == 1, F.col("at") - F.col(f"left{r}")).otherwise(F.col(f"right{r}") - F.col("at"))
+        near = near | ((F.col("role") != r) & F.coalesce(gap <= scope, F.lit(False)))
+    weak = events.withColumns(sides).filter((F.col("kind") >= 3) & near)
+    return weak.groupBy("doc_id", "row", "start", "kind", "end").agg(F.count(F.lit(1)).alias("sides")).drop("sides")
 
 
 def _joined(column: str) -> Column:
