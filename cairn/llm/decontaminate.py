@@ -29,8 +29,12 @@ never depends on the number of documents.
 
 Defined cases: null texts and empty items match nothing; an item of fewer than
 ``least_terms`` terms has no score (null) and is found where a document holds
-all its terms in a row, so that one of a single common term is found in many; an
-item without terms (only punctuation) matches nothing; a null ``item_id`` or
+all its terms in a row. Such a find says little if the item is short and
+common, so it has a ``content`` in bits, ``log2((documents + 1) / documents that
+hold it)`` and ``WORD_BITS`` for each term after the first, and
+``without_leaks`` acts on those of ``least_bits`` or more only: items of four
+terms or more always, one of a single term if it is in fewer than one of 4,096
+documents. An item without terms (only punctuation) matches nothing; a null ``item_id`` or
 ``doc_id`` is reported as null; rows that share an id are judged each, equal
 ones alike; without items or documents there are no rows; other columns are
 ignored, but kept by ``without_leaks``, whatever their names.
@@ -53,6 +57,10 @@ from cairn.llm._words import Words, alphabet, mix, words
 ALNUM = alphabet("alnum", unspaced=True)
 
 
+#: What a term in a row with others is taken to say at least.
+WORD_BITS = 4
+
+
 @dataclass
 class Search:
     window: int = 48
@@ -60,6 +68,7 @@ class Search:
     b: float = 0.75
     least_score: float = 0.4
     least_terms: int = 8
+    least_bits: float = 12
     question_share: float = 0.7
     least_question: float = 0.5
     least_answer: float = 0.5
@@ -169,7 +178,7 @@ def build_exact(items: list[tuple[int, str]], how: Search) -> Exact | None:
 
 
 def holds(found: Words, index: Exact) -> Iterator[tuple]:
-    """``(text, item, no score, 1, 1)`` where a text holds all terms of an item in a row."""
+    """``(text, item, no score, 1, 1, terms, hash of the item)`` where a text holds all terms of an item in a row."""
     out = set()
     for n, (hashes, ids) in index.items.items():
         here = _whole(found.hashes, n)
@@ -179,7 +188,7 @@ def holds(found: Words, index: Exact) -> Iterator[tuple]:
         inside = at + n <= found.bounds[text + 1]
         for d, a, b in set(zip(text[inside].tolist(), low[at][inside].tolist(), high[at][inside].tolist(), strict=True)):
             out.update((d, i) for i in range(a, b))
-        yield from ((d, ids[i], None, 1.0, 1.0) for d, i in sorted(out))
+        yield from ((d, ids[i], None, 1.0, 1.0, n, int(hashes[i].view(np.int64))) for d, i in sorted(out))
         out.clear()
 
 
@@ -263,8 +272,10 @@ def verify(found: Words, index: Index, how: Search, owner: np.ndarray, first: np
     return [(*k, *v) for k, v in best.items()]
 
 
-FOUND = "doc_id long, text_hash long, item_id long, score double, question_overlap double, answer_overlap double"
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+FOUND = "doc_id long, text_hash long, item_id long, score double, question_overlap double, answer_overlap double, terms int, item_hash long"
+FOUND_ARROW = pa.schema([
+    *((c, pa.int64()) for c in ("doc_id", "text_hash", "item_id")), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap")), ("terms", pa.int32()), ("item_hash", pa.int64()),
+])
 
 
 def item_terms(items: DataFrame, how: Search) -> DataFrame:
@@ -303,13 +314,14 @@ def indexes(items: DataFrame, how: Search) -> Iterator[list[Index | Exact]]:
 
 
 def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataFrame:
-    """``doc_id, text_hash, item_id, score, question_overlap, answer_overlap``: a row for each document and item that it leaks."""
+    """``doc_id, text_hash, item_id, score, question_overlap, answer_overlap, content``: a row for each document and item that it leaks."""
     how = how or Search()
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("text_hash"), "text")
-    found = None
+    found, short = None, False
     for own in indexes(items, how):
+        short |= any(isinstance(index, Exact) for index in own)
         shared = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -321,20 +333,32 @@ def leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataF
                             met = holds(slice_, index)
                         else:
                             hits = retrieve(slice_, index, how)
-                            met = [(d, index.item_ids[i], s, q, a) for d, i, s, q, a in (verify(slice_, index, how, *hits) if len(hits[0]) else [])]
-                        out += [(ids[slice_.first + d].as_py(), hashes[slice_.first + d].as_py(), i, s, q, a) for d, i, s, q, a in met]
+                            met = [(d, index.item_ids[i], s, q, a, None, None) for d, i, s, q, a in (verify(slice_, index, how, *hits) if len(hits[0]) else [])]
+                        out += [(ids[slice_.first + d].as_py(), hashes[slice_.first + d].as_py(), *rest) for d, *rest in met]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
 
         part = rows.mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], FOUND)
+    found = found if found is not None else spark.createDataFrame([], FOUND)
+    if not short:
+        return found.drop("terms", "item_hash").withColumn("content", F.lit(None).cast("double"))
+    found = materialise(found, "leaks")
+    key = ["item_id", "terms", "item_hash"]
+    known = found.filter("score IS NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
+    bits = F.log2(F.lit(docs.count() + 1) / F.col("held")) + WORD_BITS * (F.col("terms") - 1)
+    known = known.select(*(F.col(c).alias(f"own_{c}") for c in key), bits.alias("content"))
+    same = F.col("item_id").eqNullSafe(F.col("own_item_id")) & (F.col("terms") == F.col("own_terms")) & (F.col("item_hash") == F.col("own_item_hash"))
+    scored = found.filter("score IS NOT NULL").withColumn("content", F.lit(None).cast("double"))
+    # a row for each short item, of which a group's text is bounded
+    return scored.unionByName(found.filter("score IS NULL").join(known, same).drop(*(f"own_{c}" for c in key))).drop("terms", "item_hash")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, how: Search | None = None) -> DataFrame:
-    """``docs`` without the rows that leak an item."""
+    """``docs`` without the rows that leak an item; a short item counts where its find says enough."""
+    how = how or Search()
     id_, hash_ = fresh_names(docs, "id", "hash")
-    hit = leaks(docs, items, how).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    hit = leaks(docs, items, how).filter(F.col("score").isNotNull() | (F.col("content") >= how.least_bits)).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit[id_]) & (F.xxhash64(text_of(docs["text"])) == hit[hash_]), "left_anti")
 
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import _store, decontaminate, fingerprint, jaccard_join, line_dedup, packing, secret_scan, sharding, toxicity, training_order, warc
@@ -56,6 +57,31 @@ def test_fingerprints(spark, corpus):
     assert (fingerprint.from_hex(got[ids[0]].fingerprint) == fingerprint.chunk_set(texts[0])).all()
 
 
+def plain_set(text):
+    """The chunks' lengths and digests, byte by byte."""
+    data, ends, h, start = text.encode("utf-8"), [], 0, 0
+    for at, byte in enumerate(data, 1):
+        h = ((h << 1) + int(fingerprint.GEAR[byte])) & 0xFFFFFFFF
+        length = at - start
+        loose, strict = not h >> 28, not h >> 26
+        if (length >= 32 and loose) or (length >= 12 and strict) or length == 128:
+            ends.append(at)
+            start = at
+    if start < len(data):
+        ends.append(len(data))
+    return {(xxhash.xxh3_64_intdigest(data[a:b]) >> 16, b - a) for a, b in zip([0, *ends], ends, strict=False)}
+
+
+def test_fingerprints_equal_a_plain_gear_loop(corpus):
+    rng = random.Random(13)
+    texts = [t or "" for t in corpus] + ["".join(rng.choices("abé🙂 \n", k=n)) for n in (0, 1, 11, 12, 13, 31, 32, 33, 127, 128, 129, 5000)] + ["a" * 1000]
+    for one, other in zip(texts, texts[1:] + texts[:1], strict=True):
+        a, b = plain_set(one), plain_set(other)
+        assert {(int(x) >> 16, int(x) & 0xFFFF) for x in fingerprint.chunk_set(one)} == a
+        want = sum(n for d, n in a & b) / sum(n for _, n in a) if a else float(not b)
+        assert fingerprint.containment(fingerprint.chunk_set(one), fingerprint.chunk_set(other)) == pytest.approx(want)
+
+
 def test_chunks_follow_content():
     rng = random.Random(1)
     text = "".join(rng.choices("abcdefgh ", k=5000))
@@ -90,6 +116,25 @@ def test_sharding_is_even_and_whole(spark, corpus):
     assert max(size.values()) - min(size.values()) <= 2 * largest
 
 
+@pytest.mark.parametrize("parts", (64 << 20, 5_000))
+def test_splitters_are_those_of_the_sorted_sizes(spark, corpus, parts):
+    texts = corpus + ["copy " * 30] * 60
+    ids = [None if k % 40 == 7 else 3 * k for k in range(len(texts))]
+    got = sharding.shard(docs(spark, texts, ids), 8, part_bytes=parts).withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    rows = sorted(got, key=lambda r: (r.h, -(2**63) if r.doc_id is None else r.doc_id))
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)  # shards are stretches of the order
+    for own in range(8):
+        assert [r.slot for r in rows if r.shard == own] == list(range(sum(r.shard == own for r in rows)))
+    sizes = [len((r.text or "").encode()) + 1 for r in rows]
+    total, upto = sum(sizes), np.cumsum(sizes)
+    for t in range(1, 8):
+        last = sum(r.shard < t for r in rows)  # rows below the splitter
+        below, target = (int(upto[last - 1]) if last else 0), total * t / 8
+        nearest = min((abs(x - target) for x in [0, *upto.tolist()]))
+        # within tolerance, or as near as rows, of which equal ones stay together, can be
+        assert abs(below - target) <= max(0.0005 * total / 8, nearest) + max(sizes)
+
+
 def test_a_group_of_copies_is_split(spark):
     got = sharding.shard(docs(spark, ["copy " * 50] * 400 + [f"text {i} " * 20 for i in range(400)]), 16).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()
     sizes = [r.bytes for r in got]
@@ -292,6 +337,17 @@ def test_short_and_unspaced_items(spark):
     assert {r.item_id: r.score is None for r in found} == {0: True, 1: True, 2: False, 3: True}
 
 
+def test_a_common_short_item_drops_nothing(spark):
+    rows = [f"Paris is document {k}" for k in range(50)] + ["something else", "before What is two plus two? after", None]
+    tests = items(spark, ["Paris", "What is two plus two", "document 7"])
+    found = decontaminate.leaks(docs(spark, rows), tests).collect()
+    assert sum(r.item_id == 0 for r in found) == 50
+    bits = {r.item_id: r.content for r in found}
+    assert bits[0] == pytest.approx(np.log2(54 / 50)) and bits[1] == pytest.approx(np.log2(54) + 16) and bits[2] == pytest.approx(np.log2(54) + 4)
+    kept = [r.doc_id for r in decontaminate.without_leaks(docs(spark, rows), tests).collect()]
+    assert sorted(kept) == [k for k in range(53) if k != 51]
+
+
 # --- WARC
 
 
