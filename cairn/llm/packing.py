@@ -10,13 +10,14 @@ runs of sequences of equal room: a few thousand rows, whatever the number of
 documents. In a round, runs are sorted by size from the largest and swept: a gap
 is put on a stack and a document takes the gap on top, which is its successor
 among those not taken, the smallest that it fits in. Ranks resolve conflicts, as
-the longer document and then the lower rank is first. All of that is running
-sums: a gap and its document stand at the same depth of the stack, next to each
-other, so the match is a ``lag`` within each depth. Then gaps are updated, and
-the round is written and repeats with the documents left.
+the longer document and then the lower rank is first. Ranges of sizes are swept
+by a task each; a pair within a range is one of the whole sweep, as brackets that
+match within a stretch do, and what the ranges pass on is swept after them. Then
+gaps are updated, and the round is written and repeats with the documents left.
 
 A round takes documents of at least half the longest one left; shorter ones wait,
-or they would take room that best-fit decreasing gives to longer ones. Documents
+or they would take room that best-fit decreasing gives to longer ones. Once none
+is longer than a sixteenth of the capacity, all are taken. Documents
 longer than every gap open sequences, no more than they need in any packing.
 The result is within a few of best-fit decreasing done one by one.
 
@@ -31,9 +32,10 @@ interchangeable; an empty table packs into nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,47 +85,80 @@ def _is(kind: str) -> Column:
     return F.col("kind") == kind
 
 
-def _row(kind: str, size: Column, first: Column, n: Column, last: Column | None = None, at: Column | None = None) -> Column:
-    """A run: ``first`` rank or sequence and how many; where placed, the ``last`` sequence (ranks rise as sequences fall) and the offset."""
-    none = F.lit(None)
-    return F.struct(
-        F.lit(kind).alias("kind"), size.cast("int").alias("size"), first.cast("long").alias("first"), n.cast("long").alias("n"),
-        (none if last is None else last).cast("long").alias("last"), (none if at is None else at).cast("int").alias("at"),
-    )
+RUNS = "kind string, size int, first long, n long, last long, at int"
+RUNS_ARROW = pa.schema([("kind", pa.string()), ("size", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("at", pa.int32())])
+#: Ranges of sizes that are swept apart.
+RANGES = 8
 
 
-def swept(runs: DataFrame) -> DataFrame:
-    """``runs`` with ``pos`` in the sweep and the stack's depth before and after them; a document that finds it empty leaves it so."""
-    order = Window.orderBy(F.desc("size"), _is("doc"), "first")  # gaps before documents of their size
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    signed = F.when(_is("gap"), F.col("n")).otherwise(-F.col("n"))
-    rows = runs.withColumn("pos", F.row_number().over(order)).withColumn("sum", F.sum(signed).over(so_far))
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
-    rows = rows.withColumn("before", F.coalesce(F.lag("depth").over(order), F.lit(0)))
-    return rows.withColumn("low", F.least("before", "depth")).withColumn("high", F.greatest("before", "depth"))
+def _row(kind: str, size: Column, first: Column, n: Column) -> Column:
+    """A run that is not placed: ``first`` rank or sequence and how many. A placed one has the ``last`` sequence too (ranks rise as sequences fall) and the offset."""
+    return F.struct(F.lit(kind).alias("kind"), size.cast("int").alias("size"), first.cast("long").alias("first"), n.cast("long").alias("n"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("int").alias("at"))
+
+
+def matched(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """Sweeps sorted runs: a gap goes on a stack, a document takes the gap on top.
+
+    What this stretch of the order cannot match is passed on: documents that
+    found the stack empty, then the gaps left on it. A sweep over what several
+    stretches passed on, in order, ends as one over all of them would.
+    """
+    stack: list[tuple[int, int, int]] = []
+    out: list[tuple] = []
+    for batch in batches:
+        for kind, size, first, n, last, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == "gap":
+                stack.append((size, first, n))
+            elif kind == "doc":
+                while n and stack:
+                    room, sequence, some = stack.pop()
+                    took = min(n, some)
+                    out.append(("placed", size, first, took, sequence + some - 1, capacity - room))
+                    out.append(("new", room - size, sequence + some - took, took, None, None))
+                    first, n = first + took, n - took
+                    if some > took:
+                        stack.append((room, sequence, some - took))
+                if n:
+                    out.append(("doc", size, first, n, None, None))
+            else:
+                out.append((kind, size, first, n, last, at))
+    out += [("gap", *gap, None, None) for gap in stack]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RUNS_ARROW, strict=True)] if out else [pa.array([], f.type) for f in RUNS_ARROW], schema=RUNS_ARROW)
 
 
 def sweep(runs: DataFrame, longest: int, capacity: int) -> DataFrame:
-    """One round: what is placed, and the documents and gaps that are left."""
-    waits = _is("doc") & (F.col("size") * 2 < longest)
-    rows = swept(runs.filter(~waits))
-    moved = rows.filter("high > low")
-    # depths at which a run begins or ends cut all runs into parts that match whole
-    levels = moved.select(F.explode(F.array("low", "high")).alias("level")).distinct()
-    cuts = levels.select("level", F.lag("level").over(Window.orderBy("level")).alias("below"))
-    parts = moved.join(F.broadcast(cuts), (F.col("level") > F.col("low")) & (F.col("level") <= F.col("high")))
-    stack = Window.partitionBy("level").orderBy("pos")
-    met = parts.withColumn("gap", F.when(_is("doc"), F.lag(F.struct("size", "first", "before")).over(stack))).withColumn("taken", F.lead("kind").over(stack).isNotNull())
-
-    spans = met.filter(_is("doc") | ~F.col("taken")).groupBy("kind", "pos", "size", "first", "before", "gap").agg(F.min("below").alias("x"), F.max("level").alias("y"))
-    n, within = F.col("y") - F.col("x"), F.col("gap.first") - F.col("gap.before")
-    placed = _row("placed", F.col("size"), F.col("first") + F.col("before") - F.col("y"), n, within + F.col("y") - 1, F.lit(capacity) - F.col("gap.size"))
-    less = _row("gap", F.col("gap.size") - F.col("size"), within + F.col("x"), n)
-    idle = _row("gap", F.col("size"), F.col("first"), n)
-    matched = spans.select(F.explode(F.when(_is("doc"), F.array(placed, less)).otherwise(F.array(idle))).alias("r")).select("r.*").filter("size > 0")
-    took = F.col("before") - F.col("depth")
-    docs = rows.filter(_is("doc") & (F.col("n") > took)).select(_row("doc", F.col("size"), F.col("first") + took, F.col("n") - took).alias("r")).select("r.*")
-    return matched.unionByName(docs).unionByName(runs.filter(waits))
+    """One round: what is placed, and the documents and gaps that are left.
+
+    Ranges of sizes are swept by a task each, then what they passed on; gaps
+    made in a round (``new``) are for the next one.
+    """
+    waits = _is("doc") & (F.col("size") * 2 < longest) & F.lit(longest * 16 > capacity)
+    order = [F.desc("size"), _is("doc"), "first"]  # gaps before documents of their size
+    range_ = F.least(F.lit(RANGES - 1), ((capacity - F.col("size")) * RANGES / capacity).cast("int"))
+    apart = runs.filter(~waits).repartitionById(RANGES, range_).sortWithinPartitions(*order)
+    passed = apart.mapInArrow(partial(matched, capacity=capacity), RUNS)
+    whole = passed.repartition(1).sortWithinPartitions(*order).mapInArrow(partial(matched, capacity=capacity), RUNS)
+    kept = whole.withColumn("kind", F.when(_is("new"), "gap").otherwise(F.col("kind"))).filter("size > 0")
+    return kept.unionByName(runs.filter(waits))
+
+
+#: For the rounds' few thousand rows: one partition, no code compiled and no long text kept of their plans.
+SMALL_PLANS = {
+    "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.maxPlanStringLength": "2000",
+    "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1",
+}
+
+
+@contextmanager
+def small_plans(spark: SparkSession) -> Iterator[None]:
+    held = {name: spark.conf.get(name, None) for name in SMALL_PLANS}
+    for name, value in SMALL_PLANS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def plan(counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
@@ -132,26 +167,31 @@ def plan(counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     Ranks ``lo + i`` (``i < some``) of a length go to sequence ``last - i``, offset ``at``.
     """
     spark = counts.sparkSession
+    counts = materialise(counts, "lengths")
+    with small_plans(spark):
+        placed, used = _rounds(spark, counts, capacity)
+        return materialise(placed, "places"), used
+
+
+def _rounds(spark: SparkSession, counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     state = materialise(counts.select(_row("doc", F.col("length"), F.lit(0), F.col("n")).alias("r")).select("r.*"), "round")
     done, used = [state.filter("kind = 'placed'")], 0
     while True:
-        widest = F.coalesce(F.max(F.when(_is("gap"), F.col("size"))).over(Window.partitionBy(F.lit(0))), F.lit(0))
-        beyond = _is("doc") & (F.col("size") > F.col("widest"))
-        seen = state.withColumn("widest", widest).agg(
-            F.max(F.when(_is("doc"), F.col("size"))).alias("longest"),
-            F.sum(F.when(beyond, F.col("size") * F.col("n"))).alias("tokens"),
-            F.sum(F.when(beyond & (F.col("size") * 2 > capacity), F.col("n"))).alias("halves"),
-        ).first()
-        if seen["longest"] is None:
+        most = state.groupBy("kind").agg(F.max("size").alias("size"))
+        longest = {r["kind"]: r["size"] for r in most.collect()}  # two rows
+        if "doc" not in longest:
             break
-        if seen["tokens"]:
-            opened = max(-(-seen["tokens"] // capacity), seen["halves"] or 0)
+        if longest["doc"] > longest.get("gap", 0):
+            beyond = state.filter(_is("doc") & (F.col("size") > longest.get("gap", 0)))
+            halves = F.sum(F.when(F.col("size") * 2 > capacity, F.col("n")).otherwise(0))
+            tokens, halves = beyond.agg(F.sum(F.col("size") * F.col("n")), halves).first()
+            opened = max(-(-tokens // capacity), halves)
             state = state.unionByName(spark.range(1).select(_row("gap", F.lit(capacity), F.lit(used), F.lit(opened)).alias("r")).select("r.*"))
             used += opened
-        met = materialise(sweep(state, seen["longest"], capacity), "round")
+        met = materialise(sweep(state, longest["doc"], capacity), "round")
         done.append(met.filter("kind = 'placed'"))
         state = met.filter("kind <> 'placed'")
-    placed = functools.reduce(DataFrame.unionByName, done)
+    placed = reduce(DataFrame.unionByName, done)
     return placed.select(F.col("size").alias("length"), F.col("first").alias("lo"), F.col("n").alias("some"), "last", "at"), used
 
 
@@ -169,8 +209,7 @@ def ranked(parts: DataFrame, block_rows: int = 50_000) -> DataFrame:
 
 def pack(parts: DataFrame, capacity: int = 1024) -> DataFrame:
     """``parts`` (written before, as they are read several times) with ``sequence_id`` and ``offset``."""
-    placed, _ = plan(parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")), capacity)
-    places = materialise(placed, "places")
+    places, _ = plan(parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")), capacity)
     # a few rows for each length and round, not for each document; past a size they are joined by exchange
     places = F.broadcast(places) if places.count() <= 200_000 else places
     row = ranked(parts)

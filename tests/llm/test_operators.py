@@ -232,7 +232,7 @@ def one_by_one(lengths, capacity):
             used += opened
         free, fresh, rest = sorted(gaps), [], []
         for x in left:
-            fits = [g for g in free if g >= x] if 2 * x >= left[0] else []
+            fits = [g for g in free if g >= x] if 2 * x >= left[0] or 16 * left[0] <= capacity else []
             if fits:
                 free.remove(min(fits))
                 fresh.append(min(fits) - x)
