@@ -16,9 +16,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions import sql
 from cairn.functions import text as T
-from cairn.operators import answers, bm25, chunking, context, evaluation, filters, freshness, fusion, rerank, stores, vectors, wiki
-from cairn.sources import html
+from cairn.operators import answers, bm25, chunking, context, evaluation, filters, freshness, fusion
+from cairn.operators import reports, rerank, stores, text_index, vectors, wiki
+from cairn.plans import ingest
+from cairn.sources import html, sinks
+from cairn.streaming import retention as retained
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,8 +201,109 @@ def priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.priority_merge(sparse_hits(spark, sf_dir, 4, queries=paired(spark, sf_dir)), dense_hits(spark, sf_dir, 20), 10))
 
 
-for name in ("vector_topk", "vector_overfetch", "rrf_fusion", "score_fusion", "hybrid_retrieve", "priority_merge"):
-    QUERIES[f"{name}_every"], ORACLES[f"{name}_every"] = QUERIES[name], ORACLES[name]
+# --- the same searches by other ways: vectors in several blocks of queries, texts from a stored index
+
+
+BLOCK_QUERIES = 8
+
+
+def dense_hits_in_blocks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.filter(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.search(rows, wanted, k, "vec_id", "embedding", most=BLOCK_QUERIES)
+
+
+def indexed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("owner"), F.col("lang").alias("kb_id"), "text")
+
+
+def stored_index(spark: SparkSession, docs: DataFrame, changes: list[tuple[DataFrame | None, DataFrame]] = ()) -> text_index.Index:
+    """The published index of ``docs``, and of ``changes`` to it: documents that come, and those that they take the place of."""
+    store = sinks.scratch(spark)
+    at = lambda tables: {f"{store}/{name}": rows for name, rows in tables.items()}
+    texts = indexed_texts(docs)
+    first = text_index.rows_of(texts, text_index.buckets_for(texts), 1)
+    sinks.publish(at(text_index.laid_out(first)), at(text_index.PARTITIONS))
+    for born, (added, gone) in enumerate(changes, 2):
+        change = text_index.change(None if added is None else indexed_texts(added), indexed_texts(gone), indexed_texts(gone), first.buckets, born)
+        sinks.publish({}, add=at(text_index.laid_out(change)))
+    return text_index.Index(*(sinks.read(spark, f"{store}/{name}") for name in text_index.NAMES), first.buckets)
+
+
+def stored_hits(spark: SparkSession, sf_dir: str, k: int, queries: DataFrame) -> DataFrame:
+    return text_index.search(stored_index(spark, table(spark, sf_dir, "documents")), queries, k)
+
+
+@query(ORACLES["vector_topk"])
+def vector_topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dense_hits_in_blocks(spark, sf_dir, 10))
+
+
+@query(ORACLES["vector_overfetch"])
+def vector_overfetch_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.filter(EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(vectors.search_overfetch(rows, wanted, 5, F.col("label") % 2 == 0, "vec_id", "embedding", BLOCK_QUERIES))
+
+
+@query(ORACLES["rrf_fusion"])
+def rrf_fusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = fusion.reciprocal_ranks(dense_hits_in_blocks(spark, sf_dir, 20), stored_hits(spark, sf_dir, 20, paired(spark, sf_dir)))
+    return fused.select("query_id", "key", F.round("fused", 9).alias("fused"), "rank")
+
+
+@query(ORACLES["score_fusion"])
+def score_fusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = fusion.weighted_scores(dense_hits_in_blocks(spark, sf_dir, 20), stored_hits(spark, sf_dir, 20, paired(spark, sf_dir)))
+    return fused.select("query_id", "key", F.round("fused", 6).alias("fused"), "rank")
+
+
+@query(ORACLES["hybrid_retrieve"])
+def hybrid_retrieve_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.hybrid(dense_hits_in_blocks(spark, sf_dir, 20), stored_hits(spark, sf_dir, 20, paired(spark, sf_dir)), 10)
+    return hits.select("query_id", "key", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"), "rank")
+
+
+@query(ORACLES["priority_merge"])
+def priority_merge_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.priority_merge(stored_hits(spark, sf_dir, 4, paired(spark, sf_dir)), dense_hits_in_blocks(spark, sf_dir, 20), 10))
+
+
+@query(f"WITH {bm25_sql(10)} SELECT query_id, key, round(score, 6) AS score, rank FROM sparse")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stored_hits(spark, sf_dir, 10, asked(spark, sf_dir)))
+
+
+CHANGED_SQL = "(SELECT doc_id, CASE WHEN source = 'src1' THEN 'Revised edition. ' || text ELSE text END AS text FROM documents WHERE source <> 'src0')"
+
+
+@query(f"WITH {bm25_sql(10, docs=CHANGED_SQL)} SELECT query_id, key, round(score, 6) AS score, rank FROM sparse")
+def bm25_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source is removed from the index, and another replaced, by a segment each."""
+    docs = table(spark, sf_dir, "documents")
+    second = docs.filter("source = 'src1'")
+    revised = second.withColumn("text", F.concat(F.lit("Revised edition. "), "text"))
+    index = stored_index(spark, docs, [(None, docs.filter("source = 'src0'")), (revised, second)])
+    return rounded(text_index.search(index, asked(spark, sf_dir), 10))
+
+
+BASE_OF_QUERY = ("en", "fr", "es", "de")
+
+
+@query(f"""WITH tok AS (SELECT doc_id, lang, {tokens_sql("text")} AS tokens FROM documents),
+stat AS (SELECT lang, count(*) AS n, avg(len(tokens)) AS avgdl FROM tok GROUP BY lang),
+want AS (SELECT query_id, lang, term, count(*) AS qtf
+         FROM (SELECT query_id, {list(BASE_OF_QUERY)}[query_id % 4 + 1] AS lang, unnest({tokens_sql("query")}) AS term FROM {ASKED_SQL}) GROUP BY ALL),
+post AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+freq AS (SELECT term, lang, count(*) AS df FROM post GROUP BY ALL),
+score AS (SELECT query_id, doc_id AS key, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+          FROM post JOIN want USING (term, lang) JOIN freq USING (term, lang) JOIN stat USING (lang) GROUP BY ALL)
+SELECT query_id, key, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM score WHERE score > 0) WHERE rank <= 10""")
+def bm25_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each query's own knowledge base."""
+    own = asked(spark, sf_dir).withColumn("kb_id", F.element_at(F.array(*map(F.lit, BASE_OF_QUERY)), (F.col("query_id") % 4 + 1).cast("int")))
+    return rounded(text_index.search(stored_index(spark, table(spark, sf_dir, "documents")), own, 10, stats_scope="kb"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +371,14 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.fixed_windows("text", 800, 120)).alias("chunk_index", "chunk"))
 
 
+@query(ORACLES["chunk_fixed"])
+def chunk_fixed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows by a table function, in SQL alone."""
+    sql.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.chunk FROM {docs}, LATERAL cairn_chunk_fixed(text, 800, 120) AS c", docs=docs)
+
+
 @query()
 def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
@@ -423,6 +536,29 @@ def wiki_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.topics(wiki_pages(spark, sf_dir)).select("kb_id", "topic", "slug", "n_entries", "n_facts", "n_conflicts", "status", "summary")
 
 
+MAINTAINED_SQL = "CASE WHEN source = 'src1' THEN 'moved' ELSE source END"
+
+
+@query(f"""SELECT lang AS kb_id, {MAINTAINED_SQL} AS topic, count(*)::BIGINT AS n_entries, min(doc_id) AS first_doc
+FROM documents WHERE doc_id > (SELECT min(doc_id) FROM documents) GROUP BY ALL""")
+def wiki_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of a store after one source's documents moved to another topic and one document was removed; each document is headed by its topic."""
+    store = sinks.scratch(spark)
+    every = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("\n\n"), F.translate("text", "#", " "), F.lit(" end"))
+    named = lambda topic, rows: rows.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("kb_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("# "), topic, body).alias("text"),
+    )
+    ingest.apply(spark, store, *ingest.prepare(named(F.col("source"), every)))
+    ingest.compile_pages(spark, store)
+    ingest.apply(spark, store, *ingest.prepare(named(F.lit("moved"), every.filter("source = 'src1'"))))
+    first = every.orderBy("doc_id").select("lang", "source", "doc_id").first()
+    ingest.remove_source(spark, store, f"{first['source']}/{first['doc_id']}", first["lang"])
+    ids = F.transform("entries", lambda e: e["doc_id"].cast("long"))
+    return sinks.read(spark, f"{store}/topics").select("kb_id", "topic", "n_entries", F.array_min(ids).alias("first_doc"))
+
+
 NEGATED_SQL = " OR ".join(f"contains(w, '{m.replace(chr(39), chr(39) * 2)}')" for m in wiki.NEGATIONS)
 
 
@@ -493,6 +629,29 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.nearest_rank(table(spark, sf_dir, "events").withColumnRenamed("event_type", "kb_id"), "value", by=["kb_id"])
 
 
+@query("""WITH result AS (
+  SELECT turn, length(text) AS size, coalesce(CASE WHEN conv_id % 3 = 0 THEN 'kb' || (conv_id % 5) END,
+         CASE WHEN conv_id % 3 = 1 AND event_id IS NOT NULL THEN coalesce(CASE WHEN event_id % 7 > 0 THEN 'kb' || (event_id % 5) END, 'default') END) AS kb_id
+  FROM conversations LEFT JOIN events ON conv_id = event_id)
+SELECT count(*)::BIGINT AS records, round(avg(size), 4) AS size, round(avg(turn), 4) AS turn,
+       count(*) FILTER (WHERE turn % 2 = 0)::BIGINT AS n_gap, count(*) FILTER (WHERE turn % 3 = 0)::BIGINT AS n_late
+FROM result WHERE kb_id IN ('kb0', 'kb3', 'default')""")
+def report_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over all turns, of which a caller sees three bases: some results name theirs, some have it from a trace, some have none."""
+    c, turn = F.col("conv_id"), F.col("turn")
+    finding = lambda name, rest: F.when(turn % rest == 0, F.struct(F.lit(name).alias("category")))
+    results = table(spark, sf_dir, "conversations").select(
+        F.when(c % 3 == 0, F.concat(F.lit("kb"), (c % 5).cast("string"))).alias("kb_id"), F.when(c % 3 == 1, c).alias("trace_id"),
+        turn, F.length("text").alias("size"), F.struct(F.array(finding("gap", 2), finding("late", 3)).alias("findings")).alias("diagnosis"),
+    )
+    e = F.col("event_id")
+    traces = table(spark, sf_dir, "events").select(e.alias("trace_id"), F.when(e % 7 > 0, F.concat(F.lit("kb"), (e % 5).cast("string"))).alias("kb_id"))
+    allowed = spark.createDataFrame([("kb0",), ("kb3",), ("default",)], "kb_id string")
+    seen = reports.summaries(reports.scoped(reports.as_variants(results), traces, allowed))
+    counts = [F.coalesce(F.try_element_at("diagnosis_counts", F.lit(name)), F.lit(0).cast("long")).alias(f"n_{name}") for name in ("gap", "late")]
+    return seen.select("records", F.element_at("aggregate", "size").alias("size"), F.element_at("aggregate", "turn").alias("turn"), *counts)
+
+
 def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
@@ -618,3 +777,15 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
+
+
+@query("""SELECT event_type AS kind, event_id::VARCHAR AS id, event_id AS seq, value::VARCHAR IS NOT NULL AS has_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC, event_id::VARCHAR DESC) AS n FROM events WHERE event_type IS NOT NULL) WHERE n <= 200""")
+def retention_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest events of each type as the state of a stream over the table."""
+    held = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(held).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = stream.select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("id"), F.col("event_id").cast("long").alias("seq"), F.to_json(F.struct("value")).alias("record"))
+    state = sinks.scratch(spark)
+    retained.start(rows, state, 200, once=True).awaitTermination()
+    return retained.kept(spark, state).select("kind", "id", "seq", (F.get_json_object("record", "$.value").isNotNull()).alias("has_value"))

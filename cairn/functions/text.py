@@ -6,6 +6,8 @@ patterns here; Spark's ``trim`` drops spaces only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,11 @@ def rstrip(value: str | Column) -> Column:
     return F.regexp_replace(col(value), r"(?U)\s+$", "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` has it in lambdas, where Catalyst shares nothing."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 

@@ -63,8 +63,7 @@ def search_text(text: Column, title: Column, source: Column, source_key: Column,
 
 
 def covered(terms: Column, text: Column) -> Column:
-    lowered = F.lower(text)
-    return F.filter(terms, lambda t: F.contains(lowered, F.lower(t)))
+    return T.once(F.lower(text), lambda lowered: F.filter(terms, lambda t: F.contains(lowered, F.lower(t))))
 
 
 def promote_coverage(contexts: DataFrame) -> DataFrame:

@@ -47,6 +47,19 @@ def adjustment(query: Column, wiki_kind: Column, wiki_status: Column, section: C
     return F.round(total, 6)
 
 
+def by_position(hits: DataFrame, replies: DataFrame) -> DataFrame:
+    """``hits`` with ``model_score`` from ``replies(query_id, results array<struct<index, score>>)``.
+
+    An index is a hit's place, from 0, among its query's by rank. Indexes out of
+    range, and hits that no index names, are dropped; of an index named twice
+    the first counts.
+    """
+    placed = hits.withColumn("__at", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
+    each = replies.select("query_id", F.posexplode("results").alias("__nth", "r")).filter("r.index IS NOT NULL AND r.score IS NOT NULL")
+    once = each.groupBy("query_id", F.col("r.index").cast("int").alias("__at")).agg(F.min_by("r.score", "__nth").cast("double").alias("model_score"))
+    return placed.join(once, ["query_id", "__at"]).drop("__at")
+
+
 def rerank(hits: DataFrame, k: int, adjust: Column, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``model`` adds ``model_score`` to its own choice of ``hits``; what it leaves out is dropped. Best ``k`` by sum."""
     scored = (model or (lambda df: df.withColumn("model_score", F.col("score"))))(hits)

@@ -1,13 +1,12 @@
-"""Exact vector search, batched: normalised vectors, one matrix product per Arrow batch, local then global top k.
+"""Exact vector search: normalised vectors, matrix products of bounded blocks, one best list per query and task, then global ones.
 
-Queries are the small side; they are gathered to the driver up to a stated
-number and shipped to the tasks, and beyond it the same search runs as a
-nested-loop join with Catalyst expressions.
+Queries go to the tasks in blocks of at most ``MOST_QUERIES``; every block is a
+pass over the vectors, so no pair of a query and a vector ever is a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from cairn.functions.python import ship
 from cairn.operators.bm25 import top
 
 MOST_QUERIES = 10_000
+#: Scores that a task holds at a time.
+MOST_SCORES = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,44 +32,89 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length"))).otherwise(value)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector") -> DataFrame:
-    """``query_id, key, score, rank`` for ``queries(query_id, vector)``."""
-    rows = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).toArrow()
-    if rows.num_rows > MOST_QUERIES:
-        pairs = chunks.select(F.col(key).alias("key"), F.col(vector).alias("v")).crossJoin(queries.select("query_id", F.col("vector").alias("q")))
-        return top(pairs.select("query_id", "key", cosine(F.col("q"), F.col("v")).alias("score")), k)
-    ids = np.array(rows.column("query_id").to_pylist())
-    asked = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
-    norms = np.linalg.norm(asked, axis=1, keepdims=True)
-    asked = np.divide(asked, norms, out=np.zeros_like(asked), where=norms > 0)
+def search(chunks: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector", scoped: bool = False, most: int = MOST_QUERIES) -> DataFrame:
+    """``query_id, key, score, rank`` for ``queries(query_id, vector)``.
+
+    ``scoped``: a query has a ``scope``, and meets only chunks with that among
+    their ``scopes`` (an array).
+    """
+    columns = ["query_id", "vector", *(["scope"] if scoped else [])]
+    ship(chunks.sparkSession)
     out_type = chunks.schema[key].dataType.simpleString()
+    rows = chunks.select(key, vector, *(["scopes"] if scoped else []))
+    found = None
+    for block in _blocks(queries.select(*columns), most, 0):
+        local = rows.mapInArrow(_best_of(block, k, scoped), f"query_id long, key {out_type}, score double")
+        found = local if found is None else found.unionByName(local)
+    return top(found, k)
+
+
+def _blocks(queries: DataFrame, most: int, depth: int) -> Iterator[pa.Table]:
+    """The queries, at most ``most`` at a time; one block at a time is on the driver."""
+    rows = queries.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        yield rows
+        return
+    if depth > 8:
+        raise ValueError("queries repeat one id and vector too often")
+    parts = max(2, -(-2 * queries.count() // most))
+    numbered = queries.withColumn("__part", F.pmod(F.xxhash64(F.lit(depth), "query_id", "vector"), F.lit(parts)))
+    for part in range(parts):
+        yield from _blocks(numbered.filter(F.col("__part") == part).drop("__part"), most, depth + 1)
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+
+def _best_of(block: pa.Table, k: int, scoped: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best ``k`` rows of a task for each query of a block."""
+    ids = np.array(block.column("query_id").to_pylist(), np.int64)
+    asked = _unit(np.array(block.column("vector").to_pylist(), np.float64).reshape(len(ids), -1 if len(ids) else 0))
+    scope = np.array(block.column("scope").to_pylist(), np.int64) if scoped else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        rows = max(1, MOST_SCORES // max(1, len(ids)))
         for batch in batches:
-            keep = [i for i, v in enumerate(batch.column(1).is_valid().to_pylist()) if v]
-            if not keep or not len(ids):
-                continue
-            held = batch.column(1).take(pa.array(keep))
-            width = asked.shape[1]
-            if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(held), width)).as_py():
-                raise ValueError("vectors differ in length")
-            matrix = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), width)
-            size = np.linalg.norm(matrix, axis=1, keepdims=True)
-            scores = asked @ np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0).T
-            some = min(k, len(keep))
-            # all that tie with the batch's k-th stay, so that ties are settled by key over all batches
-            least = np.partition(scores, len(keep) - some, axis=1)[:, len(keep) - some][:, None]
-            q, c = np.nonzero(scores >= least - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array([keep[i] for i in c])), pa.array(scores[q, c])], ["query_id", "key", "score"])
-
-    ship(chunks.sparkSession)
-    local = chunks.select(key, vector).mapInArrow(run, f"query_id long, key {out_type}, score double")
-    return top(local, k)
-
-
-def search_overfetch(chunks: DataFrame, queries: DataFrame, k: int, keep: Column, key: str = "key", vector: str = "vector") -> DataFrame:
+            for low in range(0, batch.num_rows if len(ids) else 0, rows):
+                here = batch.slice(low, rows)
+                here = here.filter(here.column(1).is_valid())
+                if not here.num_rows:
+                    continue
+                held = here.column(1)
+                if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(held), asked.shape[1])).as_py():
+                    raise ValueError("vectors differ in length")
+                matrix = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(here.num_rows, -1)
+                scores = asked @ _unit(matrix).T
+                if scoped:
+                    seen = [set(x or ()) for x in here.column(2).to_pylist()]
+                    known = {s: np.array([s in x for x in seen]) for s in set(scope.tolist())}
+                    scores[~np.array([known[s] for s in scope.tolist()])] = -np.inf
+                some = min(k, here.num_rows)
+                least = np.partition(scores, here.num_rows - some, axis=1)[:, here.num_rows - some][:, None]
+                q, c = np.nonzero((scores >= least - 1e-9) & (scores > -np.inf))
+                fresh = q, np.array(here.column(0).to_pylist())[c], scores[q, c]
+                best = _first(k, *(fresh if best is None else (np.concatenate(p) for p in zip(best, fresh, strict=True))))
+        if best is not None and len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1].tolist()), pa.array(best[2])], ["query_id", "key", "score"])
+
+    return run
+
+
+def _first(k: int, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of each query, ties (to nine places) by key."""
+    order = np.lexsort((key, -np.round(score, 9), query))
+    query, key, score = query[order], key[order], score[order]
+    start = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - start < k
+    return query[kept], key[kept], score[kept]
+
+
+def search_overfetch(chunks: DataFrame, queries: DataFrame, k: int, keep: Column, key: str = "key", vector: str = "vector", most: int = MOST_QUERIES) -> DataFrame:
     """The best ``max(4k, 20)`` first, the predicate after: may return fewer than ``k``."""
-    wide = search(chunks, queries, max(4 * k, 20), key, vector).drop("rank")
+    wide = search(chunks, queries, max(4 * k, 20), key, vector, most=most).drop("rank")
     kept = wide.join(chunks.filter(keep).select(F.col(key).alias("key")), "key", "left_semi")
     return top(kept, k)
 

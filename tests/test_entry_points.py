@@ -15,6 +15,20 @@ def test_commands(spark, tmp_path, capsys):
     assert {r.kind for r in sinks.read(spark, f"{store}/pages").collect()} == {"topic", "source", "index"}
     main(["search", store, "annual leave"])
     assert ":0" in capsys.readouterr().out
+    main(["contexts", store, "annual leave", "--kb", "kb"])
+    assert "Ten days of annual leave" in capsys.readouterr().out
+    (tmp_path / "raw" / "b.txt").unlink()
+    main(["remove", store, "b.txt", "--kb", "kb"])
+    main(["search", store, "travel"])
+    assert ":0" not in capsys.readouterr().out
+    main(["vacuum", store])
+    assert "segments removed" in capsys.readouterr().out
+    main(["search", store, "annual leave"])
+    assert ":0" in capsys.readouterr().out
+    (tmp_path / "reports").mkdir()
+    (tmp_path / "reports" / "one.json").write_text(json.dumps({"results": [{"kb_id": "kb", "n": 1}, {"kb_id": "x", "n": 3}]}))
+    main(["reports", str(tmp_path / "reports"), "--kbs", "kb"])
+    assert "{n -> 1.0}" in capsys.readouterr().out
     (tmp_path / "d.jsonl").write_text(json.dumps({"query": "q", "answer": "yes", "reference_answer": "Yes.", "reference_contexts": []}))
     main(["evaluate", str(tmp_path / "d.jsonl"), str(tmp_path / "r.json")])
     assert json.loads((tmp_path / "r.json").read_text())["answer_exact_match"] == 1.0

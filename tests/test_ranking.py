@@ -19,9 +19,29 @@ def test_bm25_formula(spark):
     scope = spark.createDataFrame([(0, "doc1")], "query_id long, key string")
     assert bm25.search(docs, asked, 2, allowed=scope).first().score == pytest.approx(part(1, 2))
     assert bm25.search(docs.limit(0), asked, 2).count() == 0
-    index = bm25.build_index(docs)
-    for allowed in (None, scope):
-        assert {(r.query_id, r.key, round(r.score, 9)) for r in bm25.search_index(index, asked, 2, allowed).collect()} == {(r.query_id, r.key, round(r.score, 9)) for r in bm25.search(docs, asked, 2, allowed=allowed).collect()}
+
+
+def test_replies_by_position(spark):
+    hits = spark.createDataFrame([(0, "a", 0.9, 1), (0, "b", 0.8, 2), (0, "c", 0.7, 5), (1, "d", 0.9, 1)], HITS)
+    kind = "query_id long, results array<struct<index: int, score: double>>"
+    replies = spark.createDataFrame([(0, [(2, 0.9), (0, 0.1), (3, 1.0), (-1, 1.0), (2, 0.2), (None, 1.0), (1, None)]), (2, [(0, 1.0)])], kind)
+    assert {(r.query_id, r.key, r.model_score) for r in rerank.by_position(hits, replies).collect()} == {(0, "c", 0.9), (0, "a", 0.1)}
+    ranked = rerank.rerank(hits, 5, F.lit(0.0), lambda rows: rerank.by_position(rows, replies)).orderBy("rank").collect()
+    assert [r.key for r in ranked] == ["c", "a"]
+
+
+def test_vectors_in_blocks_and_scopes(spark):
+    import random
+
+    rng = random.Random(6)
+    vector = lambda: [float(rng.randint(-3, 3)) for _ in range(4)]
+    chunks = spark.createDataFrame([(f"k{n:03d}", vector(), [n % 3] if n % 5 else None) for n in range(200)], "key string, vector array<float>, scopes array<long>").repartition(5)
+    asked = spark.createDataFrame([(n, vector(), n % 3) for n in range(50)], "query_id long, vector array<float>, scope long")
+    pairs = asked.select("query_id", F.col("vector").alias("q"), "scope").crossJoin(chunks)
+    want = lambda rows: {(r.query_id, r.key, r["rank"]) for r in bm25.top(rows.select("query_id", "key", vectors.cosine(F.col("q"), F.col("vector")).alias("score")), 7).collect()}
+    found = lambda **how: {(r.query_id, r.key, r["rank"]) for r in vectors.search(chunks, asked, 7, **how).collect()}
+    assert found() == found(most=8) == want(pairs)
+    assert found(scoped=True, most=20) == want(pairs.filter(F.array_contains("scopes", F.col("scope"))))
 
 
 def test_vectors(spark):
