@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = r"一-鿿㐀-䶿豈-﫿"
@@ -69,6 +69,14 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def flat(rows: DataFrame, name: str) -> Column:
+    """A column of texts or of lists of texts as text: lists joined by blanks, anything else empty."""
+    kind = rows.schema[name].dataType.typeName()
+    if kind == "array":
+        return F.coalesce(F.array_join(F.col(name).cast("array<string>"), " ", "None"), F.lit(""))
+    return F.coalesce(F.col(name), F.lit("")) if kind == "string" else F.lit("")
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 

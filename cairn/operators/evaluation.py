@@ -204,6 +204,21 @@ def replay_diff(original: DataFrame, replayed: DataFrame) -> DataFrame:
     return both.select("trace_id", state.alias("status"), F.when(state == "trace_missing_query", F.array().cast("array<string>")).otherwise(diffs).alias("diffs"))
 
 
+def replay_requests(traces: DataFrame, replay_compat: bool = False) -> DataFrame:
+    """``trace_id, query, kb_id, session_id, top_k, filters``: what is asked again for each of ``traces``.
+
+    ``traces`` has ``explicit_filters``, which the caller gave, and ``filters``,
+    with which the search ran, inferred ones included. With ``replay_compat``
+    the latter are handed in as if the caller had given them, types no longer
+    soft, and ``top_k`` is forgotten. A trace without a query is not asked.
+    """
+    rows = traces.filter(F.coalesce(F.col("query"), F.lit("")) != "")
+    kb = F.coalesce(T.blank_to_null(F.col("kb_id")), F.lit("default")).alias("kb_id")
+    again = F.when(F.col("filters").isNotNull(), F.col("filters").withField("soft", F.lit(False))) if replay_compat else F.col("explicit_filters")
+    top = F.lit(None).cast("int") if replay_compat else F.col("top_k").cast("int")
+    return rows.select("trace_id", "query", kb, "session_id", top.alias("top_k"), again.alias("filters"))
+
+
 def trace_summary(traces: DataFrame) -> DataFrame:
     """``trace_id`` and counts of ``contexts`` (all, conflicting) and ``supporting_claims`` (all, conflicts, insufficiencies)."""
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))

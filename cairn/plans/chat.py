@@ -23,6 +23,28 @@ def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return rows.select("query_id", "query", "contexts", F.lit(SYSTEM).alias("system"), user.alias("user"))
 
 
+def with_media(rows: DataFrame, media: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
+    """``prompts`` with ``parts``: the user's text, and each image of the contexts, in their order, as a data address.
+
+    ``media(media_uri, data)`` has the bytes, as base64, of images small enough
+    (``files.read_media_bytes``). A relative address is looked up as it is, then
+    below each of ``roots``; an image without bytes is left out.
+    """
+    each = rows.select("query_id", F.posexplode("contexts").alias("__nth", "c"))
+    images = each.filter((F.col("c.modality") == "image") & F.startswith("c.mime_type", F.lit("image/")) & (F.col("c.media_uri") != ""))
+    uri = F.col("c.media_uri")
+    below = [F.when(~F.startswith(uri, F.lit("/")) & ~F.contains(uri, F.lit("://")), F.concat(F.lit(r.rstrip("/") + "/"), uri)) for r in roots]
+    places = images.select("query_id", "__nth", F.col("c.mime_type").alias("__mime"), F.posexplode(F.array(uri, *below)).alias("__try", "__uri")).filter("__uri IS NOT NULL")
+    held = media.groupBy(F.col("media_uri").alias("__uri")).agg(F.first("data").alias("__data"))
+    found = places.join(held, "__uri").groupBy("query_id", "__nth", "__mime").agg(F.min_by("__data", "__try").alias("__data"))
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"), url.cast("string").alias("url"))
+    address = F.concat(F.lit("data:"), "__mime", F.lit(";base64,"), "__data")
+    seen = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__nth", address.alias("a")))), lambda x: part("image_url", F.lit(None), x["a"])).alias("__images"))
+    none = F.array().cast("array<struct<type: string, text: string, url: string>>")
+    parts = F.concat(F.array(part("text", F.col("user"), F.lit(None))), F.coalesce("__images", none))
+    return rows.join(seen, "query_id", "left").withColumn("parts", parts).drop("__images")
+
+
 def format_answers(rows: DataFrame) -> DataFrame:
     """``query_id, answer, citations, supporting_claims`` of ``rows(query_id, reply, contexts)``."""
     base = rows.withColumns({"__body": answers.final_answer(F.col("reply")), "supporting_claims": answers.supporting_claims(F.col("reply")), "contexts": answers.order_contexts(F.coalesce(F.col("contexts"), F.expr("filter(contexts, c -> false)")))})
@@ -41,6 +63,8 @@ def spans(formatted: DataFrame) -> DataFrame:
     return rows.select("query_id", "position", "c.citation_label", "c.chunk_id", "c.evidence_role", answers.citation_span(F.col("answer"), F.col("c.text")).alias("s")).select("query_id", "position", "citation_label", "chunk_id", "evidence_role", "s.*")
 
 
-def run(queries: DataFrame, contexts: DataFrame, generate) -> DataFrame:
-    """``generate(df)`` adds ``reply`` to prompts."""
-    return format_answers(generate(prompts(queries, contexts)))
+def run(queries: DataFrame, contexts: DataFrame, generate, media: DataFrame | None = None, roots: tuple[str, ...] = ()) -> DataFrame:
+    """``generate(df)`` adds ``reply`` to prompts; with ``media`` these have ``parts`` too."""
+    asked = prompts(queries, contexts)
+    replied = generate(asked if media is None else with_media(asked, media, roots))
+    return format_answers(replied.drop("parts"))

@@ -25,6 +25,28 @@ def test_metrics(spark):
     assert empty.records == 0 and empty.answer_exact_match == 0.0
 
 
+def test_judged_metrics(spark):
+    marks = {"s1": 0.5, "s2": float("nan"), "s3": None}
+    score = F.create_map(*[x for k, v in marks.items() for x in (F.lit(k), F.lit(v).cast("double"))])
+    judge = lambda rows: rows.withColumn("faithfulness", F.element_at(score, F.col("sample_id")))
+    out = evaluate.run(records(spark), judge=judge, judged=("faithfulness",))["aggregate"].first()
+    assert out.faithfulness == 0.1667 and out.records == 3
+    with pytest.raises(ValueError, match="left out relevance"):
+        evaluate.run(records(spark), judge=judge, judged=("relevance",))
+
+
+def test_replay_requests(spark):
+    from cairn.operators import filters
+
+    kind = f"trace_id string, query string, kb_id string, session_id string, top_k int, explicit_filters {filters.KIND}, filters {filters.KIND}"
+    soft, hard = (["policy"], None, None, None, True), (["policy"], None, None, None, False)
+    traces = spark.createDataFrame([("a", "q", None, "s", 7, None, soft), ("b", "q", "kb", None, 3, hard, hard), ("c", "", "kb", None, 3, None, None)], kind)
+    again = {r.trace_id: (r.kb_id, r.top_k, r.filters and r.filters.soft) for r in evaluation.replay_requests(traces).collect()}
+    assert again == {"a": ("default", 7, None), "b": ("kb", 3, False)}
+    compat = {r.trace_id: (r.kb_id, r.top_k, r.filters and r.filters.soft) for r in evaluation.replay_requests(traces, replay_compat=True).collect()}
+    assert compat == {"a": ("default", None, False), "b": ("kb", None, False)}
+
+
 def test_benchmark(spark):
     traces = spark.createDataFrame([("t1", 1.2, 0), ("t2", 0.8, 2)], "trace_id string, latency_seconds double, n_conflicting int")
     out = evaluate.run(records(spark).filter("trace_id IS NOT NULL"), traces=traces)
