@@ -41,8 +41,9 @@ def exact_match(answer: Column, reference: Column, ascii_only: bool = False) ->
 def context_recall(references: Column, contexts: Column) -> Column:
     """Share of references, those under 20 characters never counting, found in the joined contexts."""
     merged = F.array_join(F.coalesce(contexts, F.array().cast("array<string>")), "\n")
-    hit = F.filter(references, lambda r: (F.length(T.strip(r)) >= LEAST_REFERENCE) & F.contains(merged, T.strip(r)))
-    return F.when(F.coalesce(F.size(references), F.lit(0)) > 0, F.round(F.size(hit) / F.size(references), 4)).otherwise(0.0)
+    long = F.filter(F.transform(references, T.strip), lambda r: F.length(r) >= LEAST_REFERENCE)
+    hits = T.once(merged, lambda text: F.size(F.filter(long, lambda r: F.contains(text, r))))
+    return F.when(F.coalesce(F.size(references), F.lit(0)) > 0, F.round(hits / F.size(references), 4)).otherwise(0.0)
 
 
 def metrics(records: DataFrame, ascii_only: bool = False) -> DataFrame:
