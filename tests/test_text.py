@@ -76,3 +76,9 @@ def test_ids(spark):
     assert one(spark, T.json_text("t"), t='a"b') == '"a\\"b"' and one(spark, T.json_text(F.lit(None).cast("int")), t="") == "null"
     assert one(spark, T.modality("t"), t="x/Y.PNG") == "image"
     assert one(spark, T.mime_type("t"), t="a.mov") == "video/quicktime"
+
+
+def test_source_keys_with_years_kept(spark):
+    rows = spark.createDataFrame([("src0/1.txt", "Document 1999"), ("src0/2.txt", "Document v2 final")], "path string, title string")
+    assert [r[0] for r in rows.select(T.source_key("path", "title", None)).collect()] == ["document 1999", "document v2 final"]
+    assert [r[0] for r in rows.select(T.source_key("path", "title")).collect()] == ["document", "document"]
