@@ -1,12 +1,14 @@
 """Searches for many queries: bounded pieces, one pass, queries of the same words as one."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.operators import scoring, vectors
+from cairn.operators import bm25, scoring, text_index, vectors
 
 
 def test_blocks_of_vectors_are_one_pass(spark):
@@ -42,3 +44,33 @@ def test_pieces_of_documents(monkeypatch, most):
     rows = lambda found: sorted((-r["score"], r["key"], r["query_id"]) for r in found)
     assert rows(pairs) == sorted(s for x in want for s in x)
     assert rows(r for b in best.rest() for r in b.to_pylist()) == sorted(s for x in want for s in x[:3])
+
+
+def test_queries_of_the_same_words(spark):
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(n, " ".join(rng.choices(words, k=rng.randint(1, 9))), [n % 3]) for n in range(80)], "doc_id long, text string, scopes array<long>").repartition(4)
+    texts = ["alpha beta", "beta alpha", "gamma", "zeta alpha alpha"]
+    asked = spark.createDataFrame([(n, texts[n % 4], n % 3) for n in range(48)], "query_id long, query string, scope long")
+    one, members = bm25.bags(asked, False)
+    assert one.count() == 3 and members.count() == 48
+    rows = lambda found: {(r.query_id, r.key, round(r.score, 9), r["rank"]) for r in found.collect()}
+    every = asked.crossJoin(docs.select(F.col("doc_id").alias("key"))).select("query_id", "key", "scope")
+    apart = rows(bm25.search(docs, asked, 5, allowed=every))
+    assert rows(bm25.search(docs, asked, 5)) == apart and {q for q, *_ in apart} == set(range(48))
+    scoped = bm25.search(docs, asked, 5, scoped=True)
+    assert rows(scoped) == rows(bm25.search(docs, asked, 5, allowed=every.filter("key % 3 = scope")))
+    kept = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("owner"), F.lit("kb").alias("kb_id"), "text")
+    assert rows(text_index.search(text_index.rows_of(kept, 16, 1), asked, 5)) == apart
+
+
+def test_postings_and_terms_leave_documents_counted(spark):
+    texts = ["one two two", "", "two three", None, "规定 规定"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = bm25.tokenized(docs)
+    found = bm25.postings(tokens)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(r.key, r.dl, t, n) for r in tokens.collect() for t, n in Counter(r.tokens).items()}
+    assert {(r.key, r.dl, r.term, r.tf) for r in found.collect()} == want
+    counted = {(r.term, r.occurrences, r.df) for r in bm25.terms(tokens).collect()}
+    assert counted == {(t, sum(w[3] for w in want if w[2] == t), sum(w[2] == t for w in want)) for t in {w[2] for w in want}}
