@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import bm25, scoring, text_index, vectors
+from cairn.operators import bm25, scoring, text_index, vectors, wiki
 
 
 def test_blocks_of_vectors_are_one_pass(spark):
@@ -74,3 +74,12 @@ def test_postings_and_terms_leave_documents_counted(spark):
     assert {(r.key, r.dl, r.term, r.tf) for r in found.collect()} == want
     counted = {(r.term, r.occurrences, r.df) for r in bm25.terms(tokens).collect()}
     assert counted == {(t, sum(w[3] for w in want if w[2] == t), sum(w[2] == t for w in want)) for t in {w[2] for w in want}}
+
+
+def test_source_pages_read_chunks_once(spark):
+    docs = spark.createDataFrame([(n, "kb", f"t{n}", f"{n}.md", "Body of a page. " * n, "document") for n in range(3)], "doc_id long, kb_id string, title string, source_path string, text string, doc_type string")
+    chunks = spark.createDataFrame([(1, n, f"chunk {n}") for n in range(10)] + [(2, 9, "late")], "doc_id long, chunk_index int, text string")
+    pages = wiki.source_pages(docs, chunks)
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    found = {r.doc_id: (r.key_passages, r.chunk_count) for r in pages.collect()}
+    assert found == {0: (None, 0), 1: ([f"chunk {n}" for n in range(8)], 10), 2: (None, 1)}
