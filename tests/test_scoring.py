@@ -83,3 +83,30 @@ def test_source_pages_read_chunks_once(spark):
     assert pages._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     found = {r.doc_id: (r.key_passages, r.chunk_count) for r in pages.collect()}
     assert found == {0: (None, 0), 1: ([f"chunk {n}" for n in range(8)], 10), 2: (None, 1)}
+
+
+def test_texts_are_split_alike_in_tasks(spark):
+    texts = ["", None, "One two TWO _ 1 22 a1", "É à_1 ¼ ½½ x² ª µ ß ÿ Ÿ", "İstanbul I ı", "Ωμέγα ΣΑΣ", "规定 leave 年假a", "naïve café\nＡＢＣ", "soft­hyphen a×b", "𝒜𝒷 😀 a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    rows = lambda found: sorted((r.key, r.dl, r.term, r.tf) for r in found.collect())
+    assert rows(bm25.text_postings(docs)) == rows(bm25.postings(bm25.tokenized(docs, "key")))
+
+
+def test_postings_are_written_where_texts_are_read(spark, tmp_path):
+    from cairn.sources import sinks
+
+    texts = spark.createDataFrame([(n, n, f"kb{n % 2}", " ".join(f"w{(n * k) % 9}" for k in range(n))) for n in range(40)], "key long, owner long, kb_id string, text string").repartition(4)
+    index = text_index.rows_of(texts, 16, 1)
+    tables = text_index.laid_out(index)
+    plan = tables["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Repartition" not in plan.split("MapInArrow")[0]
+    assert isinstance(tables["terms"], sinks.Derived) and isinstance(tables["stats"], sinks.Derived)
+    at = {f"{tmp_path}/store/{name}": rows for name, rows in tables.items()}
+    sinks.publish(at, {f"{tmp_path}/store/{name}": parts for name, parts in text_index.PARTITIONS.items()})
+    for name in text_index.NAMES:
+        assert sorted(map(str, sinks.read(spark, f"{tmp_path}/store/{name}").select(*getattr(index, name).columns).collect())) == sorted(map(str, getattr(index, name).collect())), name
+    gone = texts.filter("key % 4 = 0")
+    change = text_index.change(texts.filter("key % 4 = 1"), gone, gone, 16, 2)
+    sinks.publish({}, add={f"{tmp_path}/store/{name}": rows for name, rows in text_index.laid_out(change).items()})
+    summed = sinks.read(spark, f"{tmp_path}/store/stats").groupBy("kb_id").agg(F.sum("n").alias("n")).collect()
+    assert {r.kb_id: r.n for r in summed} == {"kb0": 10, "kb1": 30}
