@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 
-from cairn.functions.python import arrow_udf
+from cairn.functions.python import text_udf
 
 
 class _Text(HTMLParser):
@@ -42,9 +40,4 @@ def extract(page: str | None) -> str | None:
 
 def html_to_text(pages: Column) -> Column:
     """Text nodes joined by newlines."""
-    return arrow_udf(_extracted, "string")(pages)
-
-
-def _extracted(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield batch.map(extract)
+    return text_udf(extract)(pages)

@@ -3,11 +3,14 @@
 import os
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cairn import catalog
+from cairn.functions import python
 from cairn.operators import scoring
+from cairn.sources import html
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +43,30 @@ def test_rows_of_hits_of_many_queries(unsized, monkeypatch):
         made = scoring.with_rows(hits, queries, rows)
         assert ("BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()) == (most == 5)
         assert sorted(map(tuple, made.select("query_id", "key", "x").collect())) == want
+
+
+@pytest.fixture
+def batches(spark):
+    """Nothing says how large batches are."""
+    held = spark.conf.get(python.BATCH, None)
+    spark.conf.unset(python.BATCH)
+    yield spark
+    spark.conf.unset(python.BATCH) if held is None else spark.conf.set(python.BATCH, held)
+
+
+def test_workers_are_handed_bounded_batches(batches):
+    def batch_bytes(texts: pd.Series) -> pd.Series:
+        n = sum(len(x.encode()) for x in texts)
+        return texts.map(lambda _: n)
+
+    page = F.concat(F.lit("<p>"), F.repeat(F.lit("h\u00e9llo "), 2000), F.col("id").cast("string"))
+    pages = batches.range(0, 2000, 1, 1).select("id", page.alias("html"))
+    whole = 2000 * len("h\u00e9llo ".encode() * 2000)
+    html.html_to_text(F.col("html"))
+    assert whole > 4 * python.MOST_BYTES
+    assert pages.select(F.pandas_udf(batch_bytes, "long")("html").alias("n")).agg(F.max("n")).first()[0] < 1.1 * python.MOST_BYTES
+    batches.conf.set(python.BATCH, "64m")
+    html.html_to_text(F.col("html"))
+    assert batches.conf.get(python.BATCH) == "64m"
+    texts = pages.filter("id < 2").withColumn("html", F.when(F.col("id") == 1, F.col("html")))
+    assert [r[0] for r in texts.orderBy("id").select(html.html_to_text(F.col("html"))).collect()] == [None, "h\u00e9llo " * 2000 + "1"]
