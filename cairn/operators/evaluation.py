@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from unicodedata import normalize
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
-from cairn.functions.python import arrow_udf
+from cairn.functions.python import text_udf
 
 LEAST_REFERENCE = 20
 
@@ -18,17 +16,22 @@ LEAST_REFERENCE = 20
 REFUSALS = ("cannot confirm", "insufficient information", "insufficient evidence", "no available context", "please provide", "无法确认", "信息不足", "证据不足", "没有可用上下文", "请提供")
 CONFLICTS = ("存在冲突", "说法不一致", "来源不一致", "无法确定", "不能确定", "inconsistent", "conflict")
 
+# Fixed value: characters, of a regular expression's class, that NFKC leaves as they are in any order; ASCII, Latin, Greek, Cyrillic, dashes and quotes, kana, ideographs.
+UNCHANGED = (
+    r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03cf"
+    r"\u0400-\u0482\u048a-\u052f\u2010\u2012-\u2016\u2018-\u2023\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+)
+
 METRICS = ("answer_exact_match", "reference_context_recall", "retrieved_context_count", "conflicting_context_count", "conflict_claim_count", "insufficiency_claim_count")
 
 
-def _nfkc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in values:
-        yield batch.map(lambda x: None if x is None else normalize("NFKC", x))
+def _nfkc(text: str) -> str:
+    return normalize("NFKC", text)
 
 
 def comparable(value: Column) -> Column:
-    """NFKC, word characters only, lower-cased; ASCII needs no Python."""
-    folded = F.when(value.rlike(r"[^\x00-\x7f]"), arrow_udf(_nfkc, "string")(value)).otherwise(value)
+    """NFKC, word characters only, lower-cased; texts of ``UNCHANGED`` characters are not handed to Python."""
+    folded = F.coalesce(text_udf(_nfkc)(F.when(value.rlike(f"[^{UNCHANGED}]"), value)), value)
     return F.lower(F.regexp_replace(folded, r"[^\p{L}\p{N}_]", ""))
 
 

@@ -2,6 +2,7 @@
 
 import os
 import re
+import unicodedata
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn import catalog
 from cairn.functions import python
-from cairn.operators import scoring
+from cairn.operators import evaluation, scoring
 from cairn.sources import html
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,22 @@ def test_workers_are_handed_bounded_batches(batches):
     assert batches.conf.get(python.BATCH) == "64m"
     texts = pages.filter("id < 2").withColumn("html", F.when(F.col("id") == 1, F.col("html")))
     assert [r[0] for r in texts.orderBy("id").select(html.html_to_text(F.col("html"))).collect()] == [None, "h\u00e9llo " * 2000 + "1"]
+
+
+def test_metrics_hand_over_only_what_changes(spark):
+    rows = [("ﬁn １２", "fin 12"), ("naïve — „Straße“ Ω Жук かな 漢字", "naïve Straße Ω Жук かな 漢字"), ("e\u0301a", "éa"), ("ﬁ", "fo"), (None, None), ("plain", "Plain!"), ("か\u3099", "が")]
+    records = spark.createDataFrame([(a, b, [], []) for a, b in rows], "answer string, reference_answer string, reference_contexts array<string>, retrieved_contexts array<string>")
+    made = evaluation.metrics(records)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # both texts of a row go to one worker
+    assert [r.answer_exact_match for r in made.collect()] == [1.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0]
+    held = spark.range(1).select(*[F.lit(x).rlike(f"[^{evaluation.UNCHANGED}]").alias(str(n)) for n, (x, _) in enumerate(rows)]).first()
+    assert list(held) == [True, False, True, True, None, False, True]
+
+
+def test_unchanged_characters():
+    own = re.compile(f"[{evaluation.UNCHANGED}]")
+    joined = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d}
+    for x in filter(own.fullmatch, map(chr, range(0x110000))):
+        assert unicodedata.normalize("NFKC", x) == x and not unicodedata.combining(x) and ord(x) not in joined
+        assert not 0x1100 <= ord(x) <= 0x11FF
