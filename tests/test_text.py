@@ -50,6 +50,21 @@ def test_previews(spark):
     assert one(spark, T.summary("t"), t="# Head\n\nshort\n\n" + "a long enough paragraph " * 2) == ("a long enough paragraph " * 2).strip()
 
 
+def test_previews_of_long_white_space(spark):
+    """White space of every kind is one blank, at the ends none; a preview reads on where the beginning is mostly white."""
+    kinds = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    assert one(spark, T.strip("t"), t=f"{kinds}a{kinds}b\x1c\u200b{kinds}") == f"a{kinds}b\x1c\u200b"
+    assert one(spark, T.collapse("t"), t="".join(f"{k}a {k}b" for k in kinds) + kinds) == " ".join("ab" * len(kinds)).replace("a b", "a b")
+    assert one(spark, T.preview("t", 10), t=" " * 500 + "abc" + "\n" * 500 + "defghijk" + " " * 90) == "abc def..."
+    assert one(spark, T.preview("t", 10), t="abc" + " " * 500) == "abc"
+    assert one(spark, T.summary("t", 30), t="\n\n".join(["short", " # not this heading, long as it is", "x" * 19, "\u3000y y" + " y" * 300, "never read here at all"])) == "y y" + " y" * 12 + "..."
+
+
+def test_counted_sections(spark):
+    for text in ("", " \n", "a", "# A\nb\n# C", "a\n# A", "\n\n# A\n\n## B\nx", "\u3000# A", "a # b", "#A"):
+        assert one(spark, T.section_count("t"), t=text) == len(one(spark, T.sections("t", F.lit("T")), t=text)), text
+
+
 def test_eval_normalize(spark):
     assert one(spark, T.eval_normalize("t"), t=" **Ten days** a year [doc:3]。 ") == "Tendaysayear"
     assert one(spark, T.eval_normalize("t"), t=None) == ""
