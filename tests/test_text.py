@@ -65,6 +65,29 @@ def test_counted_sections(spark):
         assert one(spark, T.section_count("t"), t=text) == len(one(spark, T.sections("t", F.lit("T")), t=text)), text
 
 
+def test_fields_of_every_form_are_found(spark):
+    said = {
+        T.effective_date: ("on 1999-1-2.", "2024/12/31", "x2020年1月2日"),
+        T.version: ("V2", "a v1.2.3 b", "VERSION  3", "version\t4", "版本a", "版本：7"),
+        T.owner: ("OWNER: a", "owner：a", "负责人:a", "维护人：a", "维护团队: a"),
+        T.department: ("Department: a", "DEPARTMENT：a", "部门:a", "所属部门：a"),
+    }
+    for field, texts in said.items():
+        for text in texts:
+            assert one(spark, field("t"), t=f"some words, {text}"), text
+        for text in ("", "vv2x", "a: b", "1998", "verse 1", "owner", "12-12-12", None):
+            assert one(spark, field("t"), t=text) is None, text
+
+
+def test_metadata_makes_no_sections(spark):
+    """Their number is counted without their texts."""
+    meta = T.document_metadata(F.lit("a.txt"), F.lit("A"), F.col("t"), F.lit("kb"))
+    row = one(spark, meta, t="before\n# A\nowner: me\n## B")
+    assert row.section_count == 3 and row.headings == ["A", "B"] and row.owner == "me"
+    plan = spark.createDataFrame([("x",)], "t string").select(meta)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+
+
 def test_eval_normalize(spark):
     assert one(spark, T.eval_normalize("t"), t=" **Ten days** a year [doc:3]。 ") == "Tendaysayear"
     assert one(spark, T.eval_normalize("t"), t=None) == ""
